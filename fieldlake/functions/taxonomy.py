@@ -6,6 +6,8 @@ map literals: no join, no shuffle and no copy of the text per vocabulary row.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,15 +19,25 @@ def _is_devanagari(s: str) -> bool:
     return any("\u0900" <= ch <= "\u097f" for ch in s)
 
 
-def _literal(rows: list[dict]) -> Column:
-    def lit(v):
-        return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+def _kind(v) -> str:
+    if isinstance(v, list):
+        return f"array<{_kind(v[0]) if v else 'string'}>"
+    return {int: "int", float: "double"}.get(type(v), "string")
+
 
-    return F.array(*[F.struct(*[lit(v).alias(k) for k, v in r.items()]) for r in rows])
+def _constant(value, kind: str) -> Column:
+    """A nested constant; the optimizer folds it into one literal."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
+def _literal(rows: list[dict]) -> Column:
+    """An array of structs with the fields of `rows`."""
+    fields = ",".join(f"{k}:{_kind(next((r[k] for r in rows if r[k]), ''))}" for k in rows[0])
+    return _constant(rows, f"array<struct<{fields}>>")
 
 
 def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return _constant(pairs, f"map<string,{_kind(next(iter(pairs.values())))}>")
 
 
 def _bind(value: Column, body) -> Column:

@@ -162,15 +162,23 @@ def dedup_first_rows(spark, sf):
     return dedup.dedup_exact(d, "doc_id", ["text", "lang"]).select("doc_id", "lang", "source")
 
 
+# The check joins on the rarest grams of each text (a prefix of the set in document-frequency
+# order must overlap), verifies by counting shared grams and then walks the pairs in order.
 NEAR = f"""
 WITH RECURSIVE f AS MATERIALIZED (SELECT doc_id, {S.collapse('lower(' + C_DOC + ')')} AS t{{scope}} FROM documents),
 u AS MATERIALIZED (SELECT t, {{group}} min(doc_id) AS id FROM f GROUP BY ALL),
-g AS MATERIALIZED (SELECT id, {{scope_col}} AS sc, CASE WHEN length(t) < 3 THEN (CASE WHEN t = '' THEN [] ELSE [t] END)
-  ELSE list_distinct([substr(t, CAST(i AS INTEGER), 3) FOR i IN range(1, length(t) - 1)]) END AS s FROM u),
-n AS MATERIALIZED (SELECT *, len(s) AS n FROM g),
-pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.sc = b.sc AND a.id < b.id
-    AND least(a.n, b.n) >= 0.92 * greatest(a.n, b.n) - 1e-9
-  WHERE (a.n = 0 AND b.n = 0) OR len(list_intersect(a.s, b.s)) >= 0.92 * (a.n + b.n - len(list_intersect(a.s, b.s))) - 1e-9),
+w AS (SELECT id, {{scope_col}} AS sc, t, string_split(t, '') AS ch FROM u),
+z AS (SELECT id, sc, unnest(ch) AS c0, unnest(ch[2:]) AS c1, unnest(ch[3:]) AS c2 FROM w WHERE length(t) >= 3),
+e AS MATERIALIZED (SELECT DISTINCT id, sc, c0 || c1 || c2 AS g FROM z WHERE c2 IS NOT NULL
+  UNION ALL SELECT id, sc, t FROM w WHERE length(t) IN (1, 2)),
+c AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+r AS MATERIALIZED (SELECT id, sc, g, count(*) OVER (PARTITION BY id) AS n,
+    row_number() OVER (PARTITION BY id ORDER BY df, g) AS pos FROM e JOIN c USING (g)),
+p AS MATERIALIZED (SELECT * FROM r WHERE pos <= n - CAST(ceil(0.92 * n - 1e-9) AS BIGINT) + 1),
+cand AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b
+  ON a.g = b.g AND a.sc = b.sc AND a.id < b.id AND least(a.n, b.n) >= 0.92 * greatest(a.n, b.n) - 1e-9),
+pairs AS MATERIALIZED (SELECT a, b FROM cand JOIN e x ON x.id = a JOIN e y ON y.id = b AND x.g = y.g
+  GROUP BY a, b, na, nb HAVING count(*) >= 0.92 * (na + nb - count(*)) - 1e-9),
 todo AS MATERIALIZED (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM pairs GROUP BY b),
 walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS dropped
   UNION ALL
@@ -210,17 +218,19 @@ def dedup_stats(spark, sf):
     return dedup.dedup_stats(dedup.dedup_near(docs, "doc_id", ["text"], scope=["lang"]), "lang")
 
 
-GRAMS_SQL = """CASE WHEN length(t) < 3 THEN (CASE WHEN t = '' THEN [] ELSE [t] END)
-  ELSE list_distinct([substr(t, CAST(i AS INTEGER), 3) FOR i IN range(1, length(t) - 1)]) END"""
-
-
 @query("q_ngram_jaccard", f"""
 WITH t AS (SELECT conv_id, turn, {S.collapse('lower(text)')} AS t FROM conversations),
-g AS (SELECT conv_id, turn, {GRAMS_SQL} AS s FROM t)
-SELECT a.conv_id, a.turn, CAST(len(a.s) AS INTEGER) AS grams, CAST(len(b.s) AS INTEGER) AS next_grams,
-  CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0::DOUBLE
-    ELSE round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) END AS jaccard
-FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn""")
+w AS (SELECT conv_id, turn, string_split(t, '') AS ch FROM t),
+z AS (SELECT conv_id, turn, unnest(ch) AS c0, unnest(ch[2:]) AS c1, unnest(ch[3:]) AS c2 FROM w),
+e AS MATERIALIZED (SELECT DISTINCT conv_id, turn, c0 || c1 || c2 AS g FROM z WHERE c2 IS NOT NULL
+  UNION ALL SELECT conv_id, turn, t FROM t WHERE length(t) IN (1, 2)),
+n AS (SELECT t.conv_id, t.turn, count(g) AS n FROM t LEFT JOIN e USING (conv_id, turn) GROUP BY ALL),
+i AS (SELECT a.conv_id, a.turn, count(*) AS k FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn
+  AND a.g = b.g GROUP BY ALL)
+SELECT a.conv_id, a.turn, CAST(a.n AS INTEGER) AS grams, CAST(b.n AS INTEGER) AS next_grams,
+  CASE WHEN a.n + b.n = 0 THEN 1.0::DOUBLE ELSE round(coalesce(k, 0) / (a.n + b.n - coalesce(k, 0)), 6) END AS jaccard
+FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn
+LEFT JOIN i ON i.conv_id = a.conv_id AND i.turn = a.turn""")
 def ngram_jaccard(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", dedup.char_ngrams(F.col("text")).alias("s"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("s2"))

@@ -142,16 +142,18 @@ def ingest_plan(files: DataFrame, manifest: DataFrame) -> DataFrame:
     files: source_id, domain, dest, sha256 (null if the source file is missing), bytes.
     An identical hash at the same place is skipped, an unknown domain is an error.
     """
-    latest = manifest.select("dest", F.col("sha256").alias("known_sha256")).distinct()
-    joined = files.join(latest.withColumn("_seen", F.lit(True)), (files["dest"] == latest["dest"]) & (
-        files["sha256"] == latest["known_sha256"]), "left").drop(latest["dest"])
+    # New column names, because manifest and files may share their lineage.
+    known = manifest.select(
+        F.col("dest").alias("_dest"), F.col("sha256").alias("_sha256"), F.lit(True).alias("_seen")).distinct()
+    joined = files.join(
+        known, (F.col("dest") == F.col("_dest")) & (F.col("sha256") == F.col("_sha256")), "left")
     action = (
         F.when(F.col("sha256").isNull(), "missing")
         .when(~F.col("domain").isin(vocab.LAKE_DOMAINS), "error")
         .when(F.col("_seen"), "skipped_identical")
         .otherwise("copied")
     )
-    return joined.withColumn("action", action).drop("_seen", "known_sha256")
+    return joined.withColumn("action", action).drop("_dest", "_sha256", "_seen")
 
 
 def ingest_counters(plan: DataFrame) -> DataFrame:

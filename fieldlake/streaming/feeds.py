@@ -20,10 +20,16 @@ PRICE_TTL, SEARCH_TTL = 600, 300
 
 
 def read_feed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a folder, or one file, as a stream.
+
+    The pattern in the last character matches the path itself; without it the file source
+    insists on a folder.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def telemetry_alerts(readings: DataFrame) -> DataFrame:
