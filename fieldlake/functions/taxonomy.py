@@ -6,8 +6,6 @@ map literals: no join, no shuffle and no copy of the text per vocabulary row.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,28 +17,27 @@ def _is_devanagari(s: str) -> bool:
     return any("\u0900" <= ch <= "\u097f" for ch in s)
 
 
-def _kind(v) -> str:
+def _sql(v) -> str:
     if isinstance(v, list):
-        return f"array<{_kind(v[0]) if v else 'string'}>"
-    return {int: "int", float: "double"}.get(type(v), "string")
-
-
-def _constant(value, kind: str) -> Column:
-    """A nested constant; the optimizer folds it into one literal."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+        return f"array({', '.join(_sql(x) for x in v)})" if v else "cast(array() AS array<string>)"
+    if v is None:
+        return "cast(null AS string)"
+    if isinstance(v, (int, float)):
+        return f"{v!r}D" if isinstance(v, float) else repr(v)
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _literal(rows: list[dict]) -> Column:
-    """An array of structs with the fields of `rows`."""
-    fields = ",".join(f"{k}:{_kind(next((r[k] for r in rows if r[k]), ''))}" for k in rows[0])
-    return _constant(rows, f"array<struct<{fields}>>")
+    """An array of structs; the optimizer folds the whole expression into one literal."""
+    structs = ("named_struct(" + ", ".join(f"'{k}', {_sql(v)}" for k, v in r.items()) + ")" for r in rows)
+    return F.expr(f"array({', '.join(structs)})")
 
 
 def _map(pairs: dict) -> Column:
-    return _constant(pairs, f"map<string,{_kind(next(iter(pairs.values())))}>")
+    return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in pairs.items()) + ")")
 
 
-def _bind(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """Evaluate `value` once per row and hand it to `body`.
 
     An expression used inside a lambda is otherwise evaluated once per array element.
@@ -56,7 +53,7 @@ def _by_script(text: Column, build) -> Column:
         latin = build(bound, lambda s: not _is_devanagari(s))
         return F.when(bound.rlike(T.DEVANAGARI), full).otherwise(latin)
 
-    return _bind(text, choose)
+    return bind(text, choose)
 
 
 def resolve_crop(c: Column) -> Column:
@@ -135,7 +132,7 @@ def resolve_district(c: Column) -> Column:
         near = F.filter(table, lambda r: F.contains(key, r["alias"]) | F.contains(r["alias"], key))
         return F.coalesce(exact, F.get(near, F.lit(0)))
 
-    found = F.when(F.coalesce(c, F.lit("")) != "", _bind(F.lower(T.strip(c)), lookup))
+    found = F.when(F.coalesce(c, F.lit("")) != "", bind(F.lower(T.strip(c)), lookup))
     return F.when(
         found.isNotNull(),
         F.struct(*[found[f].alias(f) for f in ("state_id", "state", "district", "zone")]),

@@ -113,7 +113,7 @@ def tfidf(spark, sf):
 n AS (SELECT id, sqrt(sum(w * w)) AS n FROM ed GROUP BY id)
 SELECT id AS doc_id, CAST(bucket AS INTEGER) AS bucket, CAST(CAST(w / n AS FLOAT) AS DOUBLE) AS weight FROM ed JOIN n USING (id) WHERE w <> 0""")
 def hash_embedding(spark, sf):
-    v = retrieval.embed_documents(_docs(spark, sf), "doc_id", F.col("text"))
+    v = materialize(retrieval.embed_documents(_docs(spark, sf), "doc_id", F.col("text")), "vectors")
     return v.select(F.col("id").alias("doc_id"), F.posexplode("vec").alias("bucket", "weight")).filter("weight <> 0").select(
         "doc_id", "bucket", F.col("weight").cast("double").alias("weight"))
 

@@ -305,20 +305,21 @@ KEYWORDS = S.values("kw", ["cat", "word", "ord"], [
 @query("q_alias_resolve", f"""
 WITH {ALIASES}, t AS (SELECT doc_id, {S.strip('lower(text)')} AS t FROM documents)
 SELECT t.doc_id, arg_max(name, [CASE WHEN a = t THEN 1 ELSE 0 END, length(a), -ord]) AS crop
-FROM t JOIN alias ON a = t OR (length(a) >= 3 AND contains(t, a)) GROUP BY 1""")
+FROM t LEFT JOIN alias ON a = t OR (length(a) >= 3 AND contains(t, a)) GROUP BY 1""")
 def alias_resolve(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return d.select("doc_id", X.resolve_crop(F.col("text")).alias("crop")).filter("crop IS NOT NULL")
+    return d.select("doc_id", X.resolve_crop(F.col("text")).alias("crop"))
 
 
 @query("q_alias_extract", f"""
 WITH {ALIASES}, t AS (SELECT doc_id, lower(text) AS t FROM documents),
 h AS (SELECT doc_id, name, t, arg_max(a, [length(a), -ord]) AS a, max([length(a), -ord]) AS r
-  FROM t JOIN alias ON length(a) >= 2 AND contains(t, a) GROUP BY ALL)
-SELECT doc_id, string_agg(name, '|' ORDER BY instr(t, a), -r[1], -r[2]) AS crops FROM h GROUP BY 1""")
+  FROM t JOIN alias ON length(a) >= 2 AND contains(t, a) GROUP BY ALL),
+l AS (SELECT doc_id, string_agg(name, '|' ORDER BY instr(t, a), -r[1], -r[2]) AS crops FROM h GROUP BY 1)
+SELECT doc_id, coalesce(crops, '') AS crops FROM documents LEFT JOIN l USING (doc_id)""")
 def alias_extract(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.array_join(X.extract_crops(F.col("text")), "|").alias("crops")).filter("crops <> ''")
+    return d.select("doc_id", F.array_join(X.extract_crops(F.col("text")), "|").alias("crops"))
 
 
 @query("q_category", f"""
