@@ -218,3 +218,29 @@ def review_sample(records: DataFrame, stratum: str, order_col: str, sample_n: in
         ranked.filter(F.col("_rn") <= strata.scalar())
         .drop("_rn").orderBy(stratum, order_col).limit(sample_n)
     )
+
+
+def analysis_report(records: DataFrame, wanted_crops: DataFrame, wanted_categories: DataFrame) -> DataFrame:
+    """The assembled report in long form: (section, item, value), ready to write as JSON."""
+    def section(df: DataFrame, name: str, item: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("section"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+
+    crops = records.select(F.col("crop").alias("id")).filter("id IS NOT NULL")
+    cats = records.select(F.col("category").alias("id"))
+    lost = gaps(wanted_crops, crops, "crop", "medium").unionByName(gaps(wanted_categories, cats, "category", "high"))
+    balanced = balance(records, ["language", "category", "split"])
+    lengths = length_stats(records, ["question", "answer"]).unpivot(
+        ["field"], [F.col(c).cast("double").alias(c) for c in ("min", "max", "mean", "p50", "p90")], "stat", "value")
+    duplicates = duplicate_rate(records).select(F.col("exact_qa_duplicates").cast("double").alias("n"), "total")
+    parts = [
+        section(duplicates, "records", F.lit("total"), F.col("total")),
+        section(duplicates, "duplicates", F.lit("exact_qa_duplicates"), F.col("n")),
+        section(missingness(records), "missing", F.col("field"), F.col("missing")),
+        section(balanced, "balance", F.concat_ws(":", "dimension", "value"), F.col("n")),
+        section(lengths, "length", F.concat_ws(":", "field", "stat"), F.col("value")),
+        section(lost, "gap", F.concat_ws(":", "type", "id"), F.lit(1)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

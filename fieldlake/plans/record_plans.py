@@ -468,3 +468,130 @@ def export_dataset(spark, sf):
 
     manifest = lake.export_dataset(_records(spark, sf), sink_folder(spark, "dataset"))
     return manifest.select("total", "train", "val", "test", "language_pct", "schema_version")
+
+
+@query("q_review_csv", f"{GRID_SQL}, o AS ({SYNTH_OUT} FROM grid), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS rn FROM o) "
+       "SELECT category, count(*) AS n, CAST(sum(length(question)) AS BIGINT) AS q_chars, CAST(sum(length(substr(answer, 1, 500))) AS BIGINT) AS a_chars, "
+       "'false' AS verified FROM r WHERE rn <= 500 // (SELECT count(DISTINCT category) FROM o) GROUP BY 1")
+def review_csv(spark, sf):
+    """The review queue written as CSV and read back."""
+    from fieldlake.streaming.feeds import sink_folder
+
+    path = sink_folder(spark, "review")
+    lake.write_review_queue(coverage.review_sample(_grid(spark, sf), "category", "id", 500), path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("question")).cast("bigint").alias("q_chars"),
+        F.sum(F.length("answer")).cast("bigint").alias("a_chars"), F.max("verified").alias("verified"))
+
+
+@query("q_tolerant_reader", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_type <> 'error' GROUP BY 1")
+def tolerant_reader(spark, sf):
+    """JSON lines with broken lines between them: the broken ones are skipped."""
+    from fieldlake.streaming.feeds import sink_folder
+
+    path = sink_folder(spark, "lines")
+    line = F.to_json(F.struct("event_id", "event_type"))
+    e = table(spark, sf, "events").select(F.when(F.col("event_type") == "error", '{"event_id": ').otherwise(line).alias("value"))
+    e.write.text(path)
+    rows = lake.read_records(spark, path, "event_id bigint, event_type string")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
+
+
+@query("q_analysis_report", RECORDS + """, wanted AS (SELECT unnest(['Cotton', 'general', 'soil']) AS id)
+SELECT 'records' AS section, 'total' AS item, count(*)::DOUBLE AS value FROM records
+UNION ALL SELECT 'duplicates', 'exact_qa_duplicates', (count(*) - count(DISTINCT (lower(question), lower(answer))))::DOUBLE FROM records
+UNION ALL SELECT 'missing', f, CASE WHEN f IN ('crop') THEN count(*) ELSE 0 END::DOUBLE FROM records,
+  (SELECT unnest(['id', 'category', 'subcategory', 'crop', 'language', 'question', 'answer', 'source', 'split', 'schema_version', 'region', 'confidence', 'verified']) AS f) GROUP BY f
+UNION ALL SELECT 'balance', 'language:' || language, count(*)::DOUBLE FROM records GROUP BY language
+UNION ALL SELECT 'balance', 'category:' || category, count(*)::DOUBLE FROM records GROUP BY category
+UNION ALL SELECT 'balance', 'split:' || split, count(*)::DOUBLE FROM records GROUP BY split
+UNION ALL SELECT 'length', f || ':' || s, CASE s WHEN 'min' THEN min(n) WHEN 'max' THEN max(n) WHEN 'mean' THEN round(avg(n), 1)
+  WHEN 'p50' THEN quantile_cont(n, 0.5) ELSE quantile_cont(n, 0.9) END FROM (SELECT 'question' AS f, length(question)::DOUBLE AS n FROM records
+  UNION ALL SELECT 'answer', length(answer)::DOUBLE FROM records), (SELECT unnest(['min', 'max', 'mean', 'p50', 'p90']) AS s) GROUP BY f, s
+UNION ALL SELECT 'gap', 'crop:Cotton', 1.0::DOUBLE UNION ALL SELECT 'gap', 'category:soil', 1.0::DOUBLE""")
+def analysis_report(spark, sf):
+    crops = spark.createDataFrame([("Cotton",)], "id string")
+    cats = spark.createDataFrame([("general",), ("soil",)], "id string")
+    return coverage.analysis_report(_records(spark, sf), crops, cats)
+
+
+def _entity_tables(spark, sf):
+    """The eleven entity lists of a knowledge base, filled from the star-schema tables."""
+    p, s, c, n = (table(spark, sf, x) for x in ("part", "supplier", "customer", "nation"))
+    o, r, b = (table(spark, sf, x) for x in ("orders", "region", "benchmark"))
+    arr = F.array("p_type", "p_brand")
+    no = F.lit(None).cast("string")
+    span = F.struct(F.col("p_size").cast("double").alias("min"), (F.col("p_size") + 5.0).alias("max"))
+    key = F.col("p_partkey").cast("string")
+    return {
+        "crops": p.select(F.col("p_partkey").alias("ord"), key.alias("crop_id"), F.col("p_name").alias("name_en"), F.col("p_type").alias("name_mr"),
+                          F.lit("sci").alias("scientific_name"), F.col("p_brand").alias("season"), arr.alias("ideal_soil"), span.alias("ideal_temp_c"),
+                          span.alias("ideal_rainfall_mm"), F.col("p_size").cast("string").alias("duration_days"), arr.alias("growth_stages"),
+                          arr.alias("major_pests"), arr.alias("major_diseases"), no.alias("source")),
+        "diseases_and_pests": s.select(F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name_en"),
+                                       no.alias("name_mr"), F.lit("Onion").alias("crop_en"), *[F.lit(x).alias(x) for x in (
+                                           "symptoms_en", "symptoms_mr", "organic_control_en", "organic_control_mr", "chemical_control_en",
+                                           "chemical_control_mr")], F.lit("ICAR").alias("source")),
+        "soil_types": n.select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("Soil "), "n_name").alias("type"), no.alias("type_mr"),
+                               F.lit("deep").alias("characteristics_en"), no.alias("characteristics_mr"), F.array("n_name").alias("suitable_crops")),
+        "fertilizer_recommendations": p.select(
+            F.col("p_partkey").alias("ord"), F.concat("p_name", F.lit(" ("), key, F.lit(")")).alias("crop_en"), no.alias("crop_mr"),
+            F.struct(F.lit("1").alias("N"), F.lit("2").alias("P"), no.alias("K")).alias("recommended_npk_kg_per_acre"),
+            *[no.alias(x) for x in ("basal_dose", "basal_dose_mr", "top_dressing", "top_dressing_mr", "micronutrients", "source")]),
+        "schemes": c.select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("scheme_id"), F.col("c_name").alias("name_en"),
+                            no.alias("name_mr"), F.col("c_mktsegment").alias("benefits_en"), no.alias("benefits_mr"), no.alias("eligibility_en"),
+                            no.alias("eligibility_mr"), F.array(F.lit("card")).alias("documents_required"), no.alias("portal"), no.alias("source")),
+        "markets": o.select(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("mandi"), F.lit("Pune").alias("district"),
+                            F.lit("Maharashtra").alias("state"), F.col("o_orderstatus").alias("crop"), no.alias("crop_mr"), no.alias("variety"),
+                            *[F.col("o_custkey").cast("string").alias(x) for x in ("min_price_rs_quintal", "max_price_rs_quintal", "modal_price_rs_quintal")],
+                            no.alias("arrival_tonnes"), no.alias("date"), F.lit("up").alias("trend"), no.alias("source")),
+        "advisories": b.select(F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("id"), F.lit("Advice").alias("title_en"),
+                               no.alias("title_mr"), F.col("text").alias("content_en"), no.alias("content_mr"), no.alias("category"), no.alias("source")),
+        "varieties": p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("crop_en"), F.col("p_brand").alias("variety"),
+                              no.alias("notes_mr"), no.alias("agro_climatic_fit"), no.alias("source")),
+        "practices": r.select(F.col("r_regionkey").alias("ord"), F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("title"),
+                              F.lit("drip").alias("content"), F.array("r_name").alias("crops"), no.alias("source")),
+        "zones": n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("zone"), F.array("n_name").alias("districts"),
+                          F.lit("600").alias("rainfall_mm"), F.array("n_name").alias("recommended_crops"), no.alias("notes")),
+        "sources": r.select(F.col("r_regionkey").alias("ord"), F.col("r_name").alias("name"), F.lit("http").alias("url"), F.lit("api").alias("type"),
+                            F.lit("prices").alias("use")),
+    }
+
+
+@query("q_kb_documents", """
+SELECT 'Crop' AS category, 'crop_' || p_partkey AS id, 'Crop Guide: ' || p_name || ' (' || p_type || ')' AS title, 'Crop: ' || p_name || ' (' || p_type || '). Scientific: sci. Season: '
+  || p_brand || '. Ideal soil: ' || p_type || ', ' || p_brand || '. Ideal temp: ' || p_size::DOUBLE || '-' || (p_size + 5.0::DOUBLE) || '°C. Ideal rainfall: ' || p_size::DOUBLE || '-'
+  || (p_size + 5.0::DOUBLE) || ' mm. Duration: ' || p_size || ' days. Stages: ' || p_type || ', ' || p_brand || '. Major pests: ' || p_type || ', ' || p_brand || '. Major diseases: '
+  || p_type || ', ' || p_brand || '. Source: ICAR/SAU open advisory.' AS content, 'local_kb' AS source FROM part
+UNION ALL SELECT 'Disease', 'disease_' || s_suppkey, 'Disease & Pest: ' || s_name || ' () in Onion', 'Disease/Pest: ' || s_name || ' () affecting Onion. Symptoms (English): symptoms_en. '
+  || 'Symptoms (Marathi): symptoms_mr. Organic Control: organic_control_en / organic_control_mr. Chemical Control: chemical_control_en / chemical_control_mr. Source: ICAR.', 'ICAR' FROM supplier
+UNION ALL SELECT 'Soil', 'soil_soil_' || lower(n_name), 'Soil Type: Soil ' || n_name || ' ()', 'Soil: Soil ' || n_name || '. deep (). Suitable crops: ' || n_name || '.', 'soil_kb' FROM nation
+UNION ALL SELECT 'Fertilizer', 'fert_' || replace(p_name, ' ', '_') || '_' || p_partkey, 'Fertilizer Guide: ' || p_name || ' (' || p_partkey || ') ()', 'Fertilizer guide for ' || p_name || ' (' || p_partkey
+  || ') (). Recommended NPK per acre: N=1kg, P=2kg, K=Nonekg. Basal Dose:  (). Top Dressing:  (). Micronutrients: . Source: SAU PoP.', 'local_kb' FROM part
+UNION ALL SELECT 'Government Scheme', 'scheme_' || c_custkey, 'Government Scheme: ' || c_name || ' ()', 'Government Scheme: ' || c_name || ' (). Benefits: ' || c_mktsegment
+  || ' (). Eligibility:  (). Documents required: card. Portal: n/a. Source: gov open info.', 'gov_kb' FROM customer
+UNION ALL SELECT 'Market', 'market_' || o_orderkey || '_' || replace(o_orderpriority, ' ', '_'), 'Mandi Price: ' || o_orderstatus || ' @ ' || o_orderpriority, 'Market price for ' || o_orderstatus
+  || ' () variety None at ' || o_orderpriority || ', Pune, Maharashtra. Min ₹' || o_custkey || ', Modal ₹' || o_custkey || ', Max ₹' || o_custkey
+  || ' per quintal. Arrivals None tonnes. Trend: up. Date: None. Source: Agmarknet-style.', 'market_kb' FROM orders
+UNION ALL SELECT 'Advisory', 'adv_' || item_id, 'Advice', 'Advice / . ' || text || ' . Category: Advisory. Source: open advisory.', 'advisory_kb' FROM benchmark
+UNION ALL SELECT 'Seed Variety', 'seed_' || p_partkey || '_' || replace(p_name, ' ', '_'), 'Variety: ' || p_brand || ' (' || p_name || ')', 'Seed variety ' || p_brand || ' for ' || p_name
+  || '. Notes: . Agro-climatic fit: . Source: variety notes.', 'seed_kb' FROM part
+UNION ALL SELECT 'Irrigation', 'irr_' || r_regionkey, r_name, r_name || '. drip Crops: ' || r_name || '. Source: irrigation open knowledge.', 'irrigation_kb' FROM region
+UNION ALL SELECT 'Climate Zone', 'zone_' || n_nationkey, 'Agro-climate: ' || n_name, 'Climate zone ' || n_name || '. Districts: ' || n_name || '. Rainfall: 600 mm. Recommended crops: ' || n_name || '. Notes: .', 'climate_zone_kb' FROM nation
+UNION ALL SELECT 'Open Source Catalog', 'catalog_' || r_regionkey, 'Open Source: ' || r_name, 'Open data source ' || r_name || ' (api). Use for: prices. URL: http.', 'open_catalog' FROM region""")
+def kb_documents(spark, sf):
+    from fieldlake.sources import knowledge
+
+    return knowledge.documents(_entity_tables(spark, sf)).select("category", "id", "title", "content", "source")
+
+
+@query("q_kb_stats", """
+SELECT 'Crop' AS category, count(*) AS n FROM part UNION ALL SELECT 'Fertilizer', count(*) FROM part UNION ALL SELECT 'Seed Variety', count(*) FROM part
+UNION ALL SELECT 'Disease', count(*) FROM supplier UNION ALL SELECT 'Soil', count(*) FROM nation UNION ALL SELECT 'Climate Zone', count(*) FROM nation
+UNION ALL SELECT 'Government Scheme', count(*) FROM customer UNION ALL SELECT 'Market', count(*) FROM orders UNION ALL SELECT 'Advisory', count(*) FROM benchmark
+UNION ALL SELECT 'Irrigation', count(*) FROM region UNION ALL SELECT 'Open Source Catalog', count(*) FROM region""")
+def kb_stats(spark, sf):
+    from fieldlake.sources import knowledge
+
+    return knowledge.knowledge_stats(knowledge.documents(_entity_tables(spark, sf)))

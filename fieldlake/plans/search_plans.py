@@ -156,18 +156,6 @@ def rrf(spark, sf):
     return hits.select("qid", "doc_id", F.round("rrf_score", 6).alias("rrf_score"), "origins")
 
 
-@query("q_multi_query", None)
-def multi_query(spark, sf):
-    """Every expanded query runs the hybrid search; results fuse per original query."""
-    plans = materialize(queryplan.expand_queries(queryplan.plan_queries(_queries(spark, sf))), "expansions")
-    asked = plans.select(F.struct("qid", "variant").alias("k"), "query").select(
-        F.to_json("k").alias("qid"), "query")
-    hits = retrieval.hybrid_search(asked, _docs(spark, sf), "doc_id", _body(), TOP)
-    back = hits.select(F.from_json("qid", "qid bigint, variant int").alias("k"), "doc_id", "rank").select("k.*", "doc_id", "rank")
-    fused = retrieval.multi_query_fusion(back, TOP)
-    return fused.select("qid", "doc_id", F.round("rrf_score", 6).alias("rrf_score"), "rank")
-
-
 FUSE = f"""src AS (SELECT qid, doc_id, rank, 1.0 AS w, 0 AS k, 'local_hybrid' AS origin FROM bm WHERE rank <= {TOP} AND score > 0
   UNION ALL SELECT qid, doc_id, rank, 0.95, 2, 'tool' FROM tf WHERE rank <= {TOP}),
 fs AS (SELECT qid, doc_id, sum(w / (60 + rank))::DOUBLE AS s, arg_min(origin, k) AS origin FROM src GROUP BY ALL),
@@ -275,6 +263,34 @@ def expand_queries(spark, sf):
         "qid", "turn", "variant", F.sha2("q", 256).alias("query"))
 
 
+MQ_ASKED = f"""{S.values("alias", ["al", "name", "ord"], vocab.crop_alias_rows())}, {KW}, {EXP},
+a AS (SELECT item_id AS qid, {S.collapse('text')} AS n FROM benchmark),
+ch0 AS (SELECT qid, name, n, arg_max(al, [length(al), -ord]) AS al, max([length(al), -ord]) AS r FROM a JOIN alias
+  ON length(al) >= 2 AND contains(lower(n), al) GROUP BY ALL),
+crop AS (SELECT qid, arg_min(name, [instr(lower(n), al), -r[1], -r[2]]) AS crop FROM ch0 GROUP BY ALL),
+h AS (SELECT DISTINCT qid, intent, ord FROM a JOIN kw ON contains(lower(n), word)),
+v AS (SELECT qid, n AS q, 0 AS o FROM a UNION ALL SELECT qid, crop || ' ' || n, 1 FROM crop JOIN a USING (qid)
+  UNION ALL SELECT qid, crop || tail, 2 + ord FROM crop JOIN h USING (qid) JOIN ex USING (intent)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) - 1 AS variant FROM v),
+asked AS MATERIALIZED (SELECT qid * 10 + variant AS id, q AS t FROM vr WHERE variant < 6)"""
+MQ_BM25 = f"{MQ_ASKED}, " + BM25.replace("asked AS (SELECT item_id AS id, text AS t FROM benchmark),\n", "")
+
+
+@query("q_multi_query", f"""WITH {MQ_BM25}, {TFIDF}, {DENSE}, {RRF},
+m AS (SELECT qid // 10 AS qid, doc_id, sum(1.0 / (1 + 0.15 * (qid % 10)) / (60 + rank))::DOUBLE AS s FROM rr WHERE rank <= {TOP} GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 8) DESC, doc_id) AS rank FROM m)
+SELECT qid, doc_id, round(s, 6) AS rrf_score FROM k WHERE rank <= {TOP}""")
+def multi_query(spark, sf):
+    """Every expanded query runs the hybrid search; results fuse per original query."""
+    plans = materialize(queryplan.expand_queries(queryplan.plan_queries(_queries(spark, sf))), "expansions")
+    asked = plans.select(F.struct("qid", "variant").alias("k"), "query").select(
+        F.to_json("k").alias("qid"), "query")
+    hits = retrieval.hybrid_search(asked, _docs(spark, sf), "doc_id", _body(), TOP)
+    back = hits.select(F.from_json("qid", "qid bigint, variant int").alias("k"), "doc_id", "rank").select("k.*", "doc_id", "rank")
+    fused = retrieval.multi_query_fusion(back, TOP)
+    return fused.select("qid", "doc_id", F.round("rrf_score", 6).alias("rrf_score"))
+
+
 TOOLS_SQL = " || ".join(
     f"CASE WHEN len(list_intersect(il, [{', '.join(S.lit(n) for n in needs)}])) > 0 THEN [{', '.join(S.lit(t) for t in tools)}] ELSE [] END"
     for needs, tools in queryplan.TOOL_ROUTES)

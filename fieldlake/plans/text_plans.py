@@ -165,7 +165,7 @@ def dedup_first_rows(spark, sf):
 # The check joins on the rarest grams of each text (a prefix of the set in document-frequency
 # order must overlap), verifies by counting shared grams and then walks the pairs in order.
 NEAR = f"""
-WITH RECURSIVE f AS MATERIALIZED (SELECT doc_id, {S.collapse('lower(' + C_DOC + ')')} AS t{{scope}} FROM documents),
+WITH RECURSIVE f AS MATERIALIZED (SELECT doc_id, {S.collapse('lower(' + C_DOC + ')')} AS t{{scope}} FROM {{rows}}),
 u AS MATERIALIZED (SELECT t, {{group}} min(doc_id) AS id FROM f GROUP BY ALL),
 w AS (SELECT id, {{scope_col}} AS sc, t, string_split(t, '') AS ch FROM u),
 z AS (SELECT id, sc, unnest(ch) AS c0, unnest(ch[2:]) AS c1, unnest(ch[3:]) AS c2 FROM w WHERE length(t) >= 3),
@@ -199,8 +199,8 @@ def _near_sql(**parts: str) -> str:
     return out
 
 
-NEAR_ALL = _near_sql(scope="", group="", scope_col="1", scope_out="", scope_join="")
-NEAR_LANG = _near_sql(scope=", lang", group="lang,", scope_col="lang", scope_out=", f.lang",
+NEAR_ALL = _near_sql(rows="documents", scope="", group="", scope_col="1", scope_out="", scope_join="")
+NEAR_LANG = _near_sql(rows="documents", scope=", lang", group="lang,", scope_col="lang", scope_out=", f.lang",
                       scope_join=" AND f.lang = u.lang")
 
 
@@ -239,6 +239,37 @@ def ngram_jaccard(spark, sf):
         F.round(dedup.jaccard(F.col("s"), F.col("s2")), 6).alias("jaccard"))
 
 
+NEAR_LONG = _near_sql(rows="(SELECT * FROM documents WHERE n_chars >= 200)", scope="", group="", scope_col="1",
+                      scope_out="", scope_join="")
+
+
+@query("q_quality_pipeline", NEAR_LONG + """SELECT (SELECT count(*) FROM documents) AS files_scanned, count(*) AS valid,
+  (SELECT count(*) FROM documents) - count(*) AS invalid, count(*) AS cleaned, count(*) FILTER (status = 'kept') AS kept,
+  count(*) FILTER (status = 'exact_removed') AS exact_removed, count(*) FILTER (status = 'near_removed') AS near_removed, TRUE AS ok FROM verdict""")
+def quality_pipeline(spark, sf):
+    """Validate, clean, de-duplicate and report in one job; short documents arrive broken."""
+    d = table(spark, sf, "documents")
+    body = F.to_json(F.struct(F.array(F.struct("text")).alias("records")))
+    files = d.select("doc_id", F.lit("market").alias("domain"), F.col("doc_id").alias("path"),
+                     F.when(F.col("n_chars") >= 200, body).otherwise('{"records": [').alias("payload"), "text")
+    return quality.run_quality(files, "doc_id", ["text"])
+
+
+FINGERPRINT = "lower(p_brand) || ' ' || lower(p_name) || ' ' || lower(p_type) || ' tag'"
+
+
+@query("q_fingerprint", f"""
+SELECT p_partkey, {FINGERPRINT} AS fingerprint, sha256({FINGERPRINT}) AS fingerprint_hash FROM part""")
+def fingerprint(spark, sf):
+    p = table(spark, sf, "part").select(
+        "p_partkey", F.struct(F.concat(F.lit("<b> "), "p_brand").alias("a"), F.col("p_size").alias("skip"), F.lit("no").alias("raw")).alias("body"),
+        F.array("p_name", "p_type").alias("names"), F.array(F.struct(F.lit("TAG ").alias("t"), F.col("p_size").alias("n"))).alias("tags"),
+        F.lit("never").alias("metadata"))
+    fp = dedup.fingerprint_text(p, ["body", "names", "tags", "metadata"])
+    return p.select("p_partkey", fp.alias("fingerprint")).withColumn(
+        "fingerprint_hash", F.sha2("fingerprint", 256))
+
+
 @query("q_url_dedup", """
 SELECT regexp_extract(lower(url), '^https?://([^/?#]+)', 1) AS host, min(page_id) AS page_id, count(*) AS pages
 FROM pages GROUP BY 1""")

@@ -98,8 +98,7 @@ def documents(kb: dict[str, DataFrame]) -> DataFrame:
 
     def docs(name, category, doc_id, title, content, source, default_source, **fields):
         rows = kb[name].withColumn("_meta", F.to_json(F.struct(*[c for c in kb[name].columns if c != "ord"])))
-        rows = rows.withColumn("_source", source if source is None else _text(source, default_source)) \
-            if source else rows.withColumn("_source", F.lit(default_source))
+        rows = rows.withColumn("_source", _text(source, default_source) if source else F.lit(default_source))
         rows = rows.withColumns(fields) if fields else rows
         return rows.select(
             doc_id.alias("id"), F.lit(category).alias("category"), render(title).alias("title"),
@@ -140,9 +139,9 @@ def documents(kb: dict[str, DataFrame]) -> DataFrame:
         docs("schemes", "Government Scheme", prefixed("scheme_", F.col("scheme_id")),
              "Government Scheme: {name_en} ({mr})",
              "Government Scheme: {name_en} ({mr}). Benefits: {be} ({bm}). Eligibility: {ee} ({em}). "
-             "Documents required: {docs}. Portal: {link}. Source: {src}.", "source", "gov_kb", mr=_text("name_mr"),
+             "Documents required: {papers}. Portal: {link}. Source: {src}.", "source", "gov_kb", mr=_text("name_mr"),
              be=_text("benefits_en"), bm=_text("benefits_mr"), ee=_text("eligibility_en"), em=_text("eligibility_mr"),
-             docs=_list("documents_required"), link=_text("portal", "n/a"), src=_text("source", "gov open info")),
+             papers=_list("documents_required"), link=_text("portal", "n/a"), src=_text("source", "gov open info")),
         docs("markets", "Market",
              F.concat(F.lit("market_"), "ord", F.lit("_"), F.replace(_text("mandi"), F.lit(" "), F.lit("_"))),
              "Mandi Price: {crop} @ {mandi}",
@@ -150,9 +149,9 @@ def documents(kb: dict[str, DataFrame]) -> DataFrame:
              "Min ₹{min_price_rs_quintal}, Modal ₹{modal_price_rs_quintal}, Max ₹{max_price_rs_quintal} per quintal. "
              "Arrivals {arrival_tonnes} tonnes. Trend: {trend}. Date: {date}. Source: {src}.",
              "source", "market_kb", mr=_text("crop_mr"), src=_text("source", "Agmarknet-style")),
-        docs("advisories", "Advisory", prefixed("adv_", F.col("id")), "{title}",
+        docs("advisories", "Advisory", prefixed("adv_", F.col("id")), "{head}",
              "{te} / {tm}. {ce} {cm}. Category: {cat}. Source: {src}.", "source", "advisory_kb",
-             title=_text("title_en", "Advisory"), te=_text("title_en"), tm=_text("title_mr"), ce=_text("content_en"),
+             head=_text("title_en", "Advisory"), te=_text("title_en"), tm=_text("title_mr"), ce=_text("content_en"),
              cm=_text("content_mr"), cat=_text("category", "Advisory"), src=_text("source", "open advisory")),
         docs("varieties", "Seed Variety",
              F.concat(F.lit("seed_"), "ord", F.lit("_"), F.replace(_text("crop_en"), F.lit(" "), F.lit("_"))),
