@@ -59,7 +59,7 @@ FILES = {
 }
 
 
-def _struct(ddl: str) -> str:
+def struct_type(ddl: str) -> str:
     """A column list as a struct type, with `name type` rewritten to `name:type`."""
     depth, item, parts = 0, "", []
     for ch in ddl + ",":
@@ -77,7 +77,7 @@ def load_knowledge_base(spark: SparkSession, folder: str) -> dict[str, DataFrame
     """One table per record list with its position `ord`; a missing file is an empty table."""
     out = {}
     for name, lists in FILES.items():
-        schema = ", ".join(f"{k} array<{_struct(ddl)}>" for k, ddl in lists.items())
+        schema = ", ".join(f"{k} array<{struct_type(ddl)}>" for k, ddl in lists.items())
         whole = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", name).json(folder)
         for k in lists:
             out[k] = whole.select(F.posexplode(k).alias("ord", "r")).select("ord", "r.*")

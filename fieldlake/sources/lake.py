@@ -11,7 +11,9 @@ from pyspark.sql import types as ty
 
 from fieldlake.functions import vocab
 from fieldlake.operators.coverage import coverage_stats
+from fieldlake.operators.dedup import dedup_near
 from fieldlake.operators.standardize import explode_lists
+from fieldlake.sources.knowledge import FILES, struct_type
 
 RAW_SUFFIXES = [".json", ".jsonl", ".txt", ".csv"]
 PLACEHOLDER_KEYS = ("YOUR_API_KEY", "demo", "changeme")
@@ -234,6 +236,23 @@ def export_dataset(records: DataFrame, root: str, version: str | None = None) ->
     return records.sparkSession.read.schema(manifest.schema).json(f"{base}/manifest")
 
 
-def clean_lake(files: DataFrame, payload: str = "payload") -> DataFrame:
-    """Record items of valid files: path, domain, list_key, pos, item (variant)."""
-    return explode_lists(files.select("path", "domain", payload), payload)
+def lake_items(files: DataFrame, payload: str = "payload") -> DataFrame:
+    """Record items of payloads: path, domain, list_key, pos, item (variant) and a unique `row`."""
+    items = explode_lists(files.select("path", "domain", payload), payload)
+    return items.withColumn("row", F.concat_ws("#", "path", "list_key", F.lpad(F.col("pos").cast("string"), 10, "0")))
+
+
+def dedup_items(items: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """Status per item; only items of one file and list are compared."""
+    return dedup_near(items, "row", ["item"], threshold, scope=["path", "list_key"])
+
+
+def typed_items(items: DataFrame, list_key: str) -> DataFrame:
+    """Items of one known list with their fields as columns, ready for `standardize`."""
+    fields = next((lists[list_key] for lists in FILES.values() if list_key in lists), None)
+    mine = items.filter(F.col("list_key") == list_key).select(
+        F.col("path").alias("source_path"), F.col("domain").alias("domain"), "item")
+    if fields is None:
+        return mine
+    return mine.select("source_path", "domain", F.try_variant_get("item", "$", struct_type(fields)).alias("v")).select(
+        "source_path", "domain", "v.*")

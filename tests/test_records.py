@@ -126,7 +126,7 @@ def test_raw_and_processed_scans(spark, lake_root):
     assert rows["good.json"]["payload"].startswith("{") and len(rows["good.json"]["sha256"]) == 64
     checked = quality.validate(files, suffix="suffix")
     assert {r["file_name"]: r["ok"] for r in checked.collect()} == {"good.json": True, "broken.json": False}
-    items = lake.clean_lake(checked.filter("ok")).select("list_key", "pos", F.to_json("item").alias("i")).collect()
+    items = lake.lake_items(checked.filter("ok")).select("list_key", "pos", F.to_json("item").alias("i")).collect()
     assert [(r["list_key"], r["pos"]) for r in items] == [("crops", 0), ("crops", 1)]
     assert [r["file_name"] for r in lake.read_processed(spark, str(lake_root)).collect()] == ["p.json"]
     staged = {r["file_name"]: r["action"] for r in quality.clean_stage(checked).collect()}
@@ -168,3 +168,30 @@ def test_knowledge_base_files(spark, tmp_path):
     d = knowledge.documents(kb).collect()
     assert len(d) == 1 and d[0]["id"] == "zone_0"
     assert d[0]["content"] == "Climate zone Vidarbha. Districts: Nagpur, Akola. Rainfall: 900 mm. Recommended crops: Cotton. Notes: dry."
+
+
+def test_lake_from_files_to_records(spark, lake_root):
+    """Raw files to standard records: validate, clean, de-duplicate per list, standardise."""
+    dirty = {"schemes": [
+        {"name_en": "PM-KISAN <b>income</b> support", "benefits_en": "Six thousand &amp; more", "x": [1, {"raw": "a"}]},
+        {"name_en": "PM-KISAN <i>income</i>  support", "benefits_en": "Six thousand & more", "x": [2]},
+        {"name_en": "PMFBY", "benefits_en": "Crop insurance"}]}
+    (lake_root / "raw" / "government").mkdir()
+    (lake_root / "raw" / "government" / "dirty.json").write_text(json.dumps(dirty))
+    staged = quality.clean_stage(quality.validate(lake.read_lake(spark, str(lake_root)), suffix="suffix"))
+    cleaned = staged.filter("action = 'cleaned'").drop("payload").withColumnRenamed("cleaned", "payload")
+    status = lake.dedup_items(lake.lake_items(cleaned))
+    got = {(r["list_key"], r["pos"]): r["status"] for r in status.collect()}
+    assert got == {("crops", 0): "kept", ("crops", 1): "exact_removed", ("schemes", 0): "kept", ("schemes", 1): "near_removed", ("schemes", 2): "kept"}
+    recs = standardize.standardize(lake.typed_items(status.filter("status = 'kept'"), "schemes"), "schemes")
+    assert sorted(r["question"] for r in recs.collect()) == [
+        "What is the PM-KISAN income support government scheme?", "What is the PMFBY government scheme?"]
+
+
+def test_dimensions(spark):
+    from fieldlake.operators import dimensions as dim
+
+    assert dim.aliases_without_crop(spark).count() == 0
+    assert quality.integrity(dim.crop_dim(spark), "id", ["name_en", "name_mr", "name_hi", "crop_group"], 20).filter("NOT ok").count() == 0
+    assert {r["item"]: r["n"] for r in dim.taxonomy_summary(spark).collect()}["mh_districts"] == 37 == dim.district_dim(spark).count()
+    assert dim.unit_dim(spark).filter("alias = 'quintal'").first()["factor"] == 100.0
