@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from fieldlake.functions import text as T
+from fieldlake.sources.store import materialize
 
 # The lower ends of the length bins; the last one is open.
 LENGTH_BINS = [0, 50, 100, 200, 400, 800, 1600, 10_000]
@@ -206,18 +207,17 @@ def leakage(records: DataFrame, fact_key: str = "fact_key", split: str = "split"
 def review_sample(records: DataFrame, stratum: str, order_col: str, sample_n: int) -> DataFrame:
     """The first max(1, sample_n div strata) rows of every stratum, at most sample_n in all.
 
-    row_number with an upper bound is a group limit: each task keeps k rows per stratum
-    before the shuffle.
+    row_number with an upper bound is a group limit: each task keeps sample_n rows per
+    stratum before the shuffle. What remains is small and still has every stratum, so the
+    share per stratum is counted there and the records are read once.
     """
-    strata = records.agg(F.count_distinct(stratum).alias("n")).select(
-        F.greatest(F.lit(1), F.floor(F.lit(sample_n) / F.greatest(F.lit(1), "n"))).alias("per")
-    )
     w = Window.partitionBy(stratum).orderBy(order_col)
     ranked = records.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample_n)
-    return (
-        ranked.filter(F.col("_rn") <= strata.scalar())
-        .drop("_rn").orderBy(stratum, order_col).limit(sample_n)
+    ranked = materialize(ranked, "review")
+    share = ranked.agg(F.count_distinct(stratum).alias("n")).select(
+        F.greatest(F.lit(1), F.floor(F.lit(sample_n) / F.greatest(F.lit(1), "n"))).alias("per")
     )
+    return ranked.filter(F.col("_rn") <= share.scalar()).drop("_rn").orderBy(stratum, order_col).limit(sample_n)
 
 
 def analysis_report(records: DataFrame, wanted_crops: DataFrame, wanted_categories: DataFrame) -> DataFrame:

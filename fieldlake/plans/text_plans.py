@@ -243,10 +243,10 @@ NEAR_LONG = _near_sql(rows="(SELECT * FROM documents WHERE n_chars >= 200)", sco
                       scope_out="", scope_join="")
 
 
-@query("q_quality_pipeline", NEAR_LONG + """SELECT (SELECT count(*) FROM documents) AS files_scanned, count(*) AS valid,
+@query("q_quality_run", NEAR_LONG + """SELECT (SELECT count(*) FROM documents) AS files_scanned, count(*) AS valid,
   (SELECT count(*) FROM documents) - count(*) AS invalid, count(*) AS cleaned, count(*) FILTER (status = 'kept') AS kept,
   count(*) FILTER (status = 'exact_removed') AS exact_removed, count(*) FILTER (status = 'near_removed') AS near_removed, TRUE AS ok FROM verdict""")
-def quality_pipeline(spark, sf):
+def quality_run(spark, sf):
     """Validate, clean, de-duplicate and report in one job; short documents arrive broken."""
     d = table(spark, sf, "documents")
     body = F.to_json(F.struct(F.array(F.struct("text")).alias("records")))
