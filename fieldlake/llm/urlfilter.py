@@ -48,9 +48,9 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
         "host", "day", "parts", F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1)))).alias("i")
     ).select("host", "day", F.array_join(F.expr("slice(parts, i, size(parts))"), ".").alias("key"), (-F.col("i")).alias("depth"))
     # one row per key, interval and month, so that a lookup meets the intervals of its month only
-    horizon = F.broadcast(asked.agg(F.max("day").alias("last_day")))  # one row
+    last_day = F.lit(captures.agg(F.max(F.col(fetched).cast("date"))).first()[0]).cast("date")
     spans = (
-        intervals(entries).join(horizon).withColumn("ends", F.least(F.coalesce(F.date_sub("valid_to", 1), "last_day"), "last_day")).where("valid_from <= ends")
+        intervals(entries).withColumn("ends", F.least(F.coalesce(F.date_sub("valid_to", 1), last_day), last_day)).where("valid_from <= ends")
         .withColumn("month", F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc("ends", "month"), F.expr("interval 1 month"))))
     )
     active = keys.withColumn("month", F.trunc("day", "month")).join(spans, ["key", "month"]).where("valid_from <= day and day <= ends")
