@@ -8,8 +8,10 @@ later than the latest register. Bands of registers give candidates; candidates a
 the whole shingle sets: linked if their plain Jaccard similarity is at least the threshold.
 
 Exact copies share one signature row. In a band's bucket every member is first compared with the
-bucket's smallest id; only buckets that still hold several components are compared further, and
-there only members of different components. So a crowd of copies costs one comparison each.
+bucket's smallest id, its leader; only buckets that still hold several components are compared
+further. Small ones are paired by a join. The members of large ones meet by leader in blocks of
+bounded size, where products of shingle incidence matrices give every pair's exact similarity;
+what leaves a block is one verified link per member, never its list of pairs.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and registers of a band: two texts of similarity 0.8 share no band with a chance of 2e-7,
 #: of 0.65 with 2e-3.
 BANDS, ROWS = 30, 4
-#: Least share of equal registers of candidates that are verified. At a true similarity of 0.65 or
-#: more (0.8 of plain Jaccard with uneven weights) fewer equal registers have a chance below 1e-3.
-ESTIMATE = 0.5
-#: Buckets up to this size are paired by a join, larger ones in blocks of BLOCK.
-SMALL, BLOCK = 16, 1_000
+#: Least share of equal registers of candidates that are verified; at a true similarity of 0.8 fewer
+#: equal registers have a chance of 1e-5.
+ESTIMATE = 0.65
+#: Buckets up to this size are paired by a join, larger ones in blocks of about BLOCK; shingles of
+#: one matrix product.
+SMALL, BLOCK, COLUMNS = 16, 1_000, 8_192
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +97,9 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, copy_key, sig, bands) of every row with a text; sig and bands are null without words."""
+    """(doc_id, copy_key, sig, bands) of every row with a text; sig and bands are null without words.
+
+    `sig` keeps 16 bits of each register, which is enough for estimates; bands are made of 32."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null and doc_id is not null")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -107,7 +112,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 yield pd.DataFrame({
                     "doc_id": b["doc_id"].iloc[at : at + len(part)].to_numpy(),
                     "copy_key": [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in part],
-                    "sig": [s.tobytes() if h else None for s, h in zip(sig, has, strict=True)],
+                    "sig": [s.astype(np.uint16).tobytes() if h else None for s, h in zip(sig, has, strict=True)],
                     "bands": [k.tolist() if h else None for k, h in zip(keys, has, strict=True)],
                 })
                 at += len(part)
@@ -116,8 +121,8 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _alike(sigs_a: pd.Series, sigs_b: pd.Series) -> np.ndarray:
-    a = np.frombuffer(b"".join(sigs_a), np.uint32).reshape(len(sigs_a), -1)
-    b = np.frombuffer(b"".join(sigs_b), np.uint32).reshape(len(sigs_b), -1)
+    a = np.frombuffer(b"".join(sigs_a), np.uint16).reshape(len(sigs_a), -1)
+    b = np.frombuffer(b"".join(sigs_b), np.uint16).reshape(len(sigs_b), -1)
     return (a == b).mean(1)
 
 
@@ -136,15 +141,8 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, label: str) -> DataFrame:
-    """Those of `pairs` (u, v) whose estimate and then whose shingle sets are alike enough."""
-    sig = reps.select("doc_id", "sig")
-    alike, overlap = F.pandas_udf(estimate, "double"), F.pandas_udf(jaccard, "double")
-    near = materialize(
-        pairs.join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("su")), "u")
-        .join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv")), "v")
-        .where(alike("su", "sv") >= ESTIMATE).select("u", "v"), f"{label}-candidates")
-    wanted = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+    """(doc_id, s): the sorted shingle set of each wanted id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches):
@@ -157,40 +155,93 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: fl
                                     "s": [value[a:z].tobytes() for a, z in zip(cut, cut[1:], strict=False)]})
                 at += len(part)
 
-    # one text per id: copies and repeated rows have the same one
-    sets_of = materialize(
-        docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, f"doc_id {kind}, s binary").dropDuplicates(["doc_id"]), f"{label}-sets")
+    # one set per id: repeated rows have the same one
+    return materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, f"doc_id {kind}, s binary").dropDuplicates(["doc_id"]), label)
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: float, label: str) -> DataFrame:
+    """Those of `pairs` (u, v) whose estimate and then whose shingle sets are alike enough."""
+    alike, overlap = F.pandas_udf(estimate, "double"), F.pandas_udf(jaccard, "double")
+    near = materialize(
+        pairs.join(sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("su")), "u")
+        .join(sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv")), "v")
+        .where(alike("su", "sv") >= ESTIMATE).select("u", "v"), f"{label}-candidates")
+    sets = _shingle_sets(docs, near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{label}-sets")
     return materialize(
-        near.join(sets_of.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u")
-        .join(sets_of.select(F.col("doc_id").alias("v"), F.col("s").alias("sv")), "v")
+        near.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u")
+        .join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sv")), "v")
         .where(overlap("su", "sv") >= similarity).select("u", "v"), f"{label}-links")
 
 
-def _crowded_pairs(members: DataFrame, kind: str) -> DataFrame:
-    """Candidates of large buckets that still hold several components: blocks of a bucket meet in
-    tasks of their own, and only pairs of different components with an estimate high enough leave."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of every set of `left` with every set of `right`."""
+    sets = left + right
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen > 1  # a shingle of one text alone is in no intersection
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        incidence = np.zeros((len(sets), COLUMNS), np.float32)
+        incidence[row[a:b], column[a:b] - first] = 1
+        both += incidence[: len(left)] @ incidence[len(left) :].T
+    return both / (size[: len(left), None] + size[None, len(left) :] - both)
+
+
+def _crowd_links(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (u, v) inside large buckets that still hold several components.
+
+    members: (leader, doc_id, component). Texts of one bucket share its leader; a leader's members
+    are dealt to blocks by hash, every two blocks meet in a task of their own, and a task returns
+    for each member at most one link, to a text of the same component of its links.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = _shingle_sets(docs, members.select("doc_id").distinct(), "crowd-sets")
+    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "component", "sig")
+        members.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("leader", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "component", "s")
     )
 
-    def meet(_, g):
+    def meet(key, g):
         g = g.reset_index(drop=True)
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), -1)
-        comp, own, ids = pd.factorize(g["component"])[0], g["own"].to_numpy(), g["doc_id"].to_numpy()
-        one_block = (own == own[0]).all()
+        sets = [np.frombuffer(x, np.uint64) for x in g["s"]]
+        own, ids, group = g["own"].to_numpy(), g["doc_id"].to_numpy(), pd.factorize(g["component"])[0]
+        left = np.flatnonzero(own == key[1])
+        right = left if key[1] == key[2] else np.flatnonzero(own == key[2])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": [], "v": []})
+        a, b = np.nonzero(overlaps([sets[i] for i in left], [sets[i] for i in right]) >= similarity)
+        a, b = left[a], right[b]
+        use = (a != b) & (group[a] != group[b])
+        a, b = a[use], b[use]
+        best = pd.DataFrame({"a": np.maximum(ids[a], ids[b]), "b": np.minimum(ids[a], ids[b])})
+        # a forest over components is enough: each pair of components once
+        best["x"], best["y"] = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
+        best = best.drop_duplicates(["x", "y"])
+        root = {k: k for k in range(group.max() + 1)}
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
         out = []
-        for i in range(len(g)):
-            rest = np.arange(i + 1, len(g)) if one_block else np.flatnonzero((own > own[i]))
-            rest = rest[comp[rest] != comp[i]]
-            if len(rest):
-                near = rest[(sig[rest] == sig[i]).mean(1) >= ESTIMATE]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
+        for r in best.itertuples():
+            i, j = find(r.x), find(r.y)
+            if i != j:
+                root[i] = j
+                out.append((r.b, r.a))
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return dealt.groupBy("key", "x", "y").applyInPandas(meet, f"u {kind}, v {kind}")
+    return materialize(dealt.groupBy("leader", "x", "y").applyInPandas(meet, f"u {kind}, v {kind}"), "crowd-links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,30 +257,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     kind = base.schema["doc_id"].dataType.simpleString()
     all_rows = materialize(sketch(base), "sketches")
     classes = all_rows.groupBy("copy_key").agg(F.min("doc_id").alias("rep"))
-    members = materialize(all_rows.select("doc_id", "copy_key").join(classes, "copy_key").select("doc_id", "rep"), "copies")
-    reps = materialize(
-        all_rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("sig is not null").dropDuplicates(["doc_id"]),
-        "representatives")
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    members = materialize(
+        all_rows.select("doc_id", "copy_key", "bands").join(classes, "copy_key")
+        .select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "copies")
+    sigs = all_rows.where("sig is not null").groupBy("doc_id").agg(F.first("sig").alias("sig"))
+    banded = members.select("doc_id", F.explode("bands").alias("key")).distinct()
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     in_buckets = materialize(banded.join(buckets, "key"), "buckets")
     stars = in_buckets.where("doc_id <> leader").select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct()
-    links = _verified(stars, reps, base, similarity, "stars")
+    links = _verified(stars, sigs, base, similarity, "stars")
     joined = components(links, "near-components")
     # buckets whose members are in one component need nothing more
     placed = in_buckets.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = materialize(placed.select("key", "doc_id", "n", "component", "leader"), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    open_rows = materialize(placed.join(open_keys, "key", "left_semi"), "open-buckets")
-    small = open_rows.where(F.col("n") <= SMALL)
+    several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    unsettled = materialize(placed.join(several, "key", "left_semi"), "unsettled")
+    small = unsettled.where(F.col("n") <= SMALL)
     other = small.select("key", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
     pairs = (
         small.where("doc_id <> leader").select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
-        .join(other, "key").where("u < v and cu <> cv").select("u", "v")
+        .join(other, "key").where("u < v and cu <> cv").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
     )
-    large = open_rows.where(F.col("n") > SMALL).join(reps.select("doc_id", "sig"), "doc_id")
-    more = materialize(pairs.unionByName(_crowded_pairs(large, kind)).distinct().join(stars, ["u", "v"], "left_anti"), "cross-pairs")
-    links = links.unionByName(_verified(more, reps, base, similarity, "cross"))
+    crowd = materialize(unsettled.where(F.col("n") > SMALL).select("leader", "doc_id", "component").distinct(), "crowds")
+    links = links.unionByName(_verified(pairs, sigs, base, similarity, "cross")).unionByName(_crowd_links(crowd, base, similarity))
     clusters = components(links, "near-clusters")
     found = (
         members.join(clusters.withColumnRenamed("node", "rep"), "rep", "left")
