@@ -74,18 +74,20 @@ def patterns(size: int, present: np.ndarray, splits: int = SPLITS) -> np.ndarray
 
 
 def fit(pats: np.ndarray, hist: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Non-negative repeat counts that bring the patterns' histogram nearest to `hist` (accelerated
-    projected gradient of the least-squares error; an empty slot has no row)."""
+    """Non-negative repeat counts that bring the patterns' histogram nearest to `hist`, by accelerated
+    projected gradient of the least-squares error. Errors weigh as the square of the length: short
+    pieces left over still fit somewhere, long ones need a sequence each. An empty slot has no row."""
     size = len(hist) - 1
     x = y = np.zeros(len(pats))
     t = 1.0
     flat = pats.ravel()
     use = np.bincount(flat, minlength=size + 1)
     use[0] = 0
-    step = 1.0 / max(1.0, 3.0 * use.max())  # bounds the largest eigenvalue of the normal matrix
+    weight = (np.arange(size + 1) / size) ** 2 + 0.01
+    step = 1.0 / max(0.01, 3.0 * (use * weight).max())  # bounds the largest eigenvalue of the normal matrix
     for _ in range(steps):
         made = np.bincount(flat, np.repeat(y, 3), minlength=size + 1)
-        error = made - hist
+        error = (made - hist) * weight
         error[0] = 0
         new = np.maximum(0, y - step * error[pats].sum(1))
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -109,9 +111,14 @@ def plan(hist: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         used[length] += n
         left[length] -= n
 
-    pats = patterns(size, left > 0)
+    # few pieces of a length ask for few patterns: counts below one cannot be rounded
+    lengths = max(1, int((left > 0).sum()))
+    pats = patterns(size, left > 0, int(np.clip(left.sum() // (8 * lengths), 1, SPLITS)))
     if len(pats):
         x = fit(pats, left.astype(float))
+        for least in (0.25, 0.5):  # the weight of patterns that would round to nothing goes to the others
+            pats = pats[x >= least]
+            x = fit(pats, left.astype(float)) if len(pats) else np.zeros(0)
         for k in np.argsort(-x, kind="stable").tolist():
             n = round(float(x[k]))
             slots = [v for v in pats[k].tolist() if v]
