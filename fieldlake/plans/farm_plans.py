@@ -275,14 +275,15 @@ def _domain():
 
 
 def _registry(spark, sf):
-    d = table(spark, sf, "documents").select("source", _domain().alias("domain"), "n_chars")
+    d = table(spark, sf, "documents").select("source", _domain().alias("domain"))
     # At most four domains per source, so the collected set is bounded.
-    return d.groupBy(F.col("source").alias("id")).agg(
-        F.max("domain").alias("domain"), F.array_sort(F.collect_set("domain")).alias("also_domains"),
-        F.when(F.max("n_chars") > 9000, "http_api").otherwise("local_file").alias("type"), (F.count(F.lit(1)) > 45).alias("enabled"))
+    grouped = d.groupBy(F.col("source").alias("id")).agg(
+        F.max("domain").alias("domain"), F.array_sort(F.collect_set("domain")).alias("also_domains"))
+    return grouped.withColumns({
+        "type": F.when(F.col("id").endswith("9"), "http_api").otherwise("local_file"), "enabled": ~F.col("id").endswith("5")})
 
 
-REG = f"reg AS (SELECT source AS id, max({LANG_DOMAIN}) AS domain, list_sort(list(DISTINCT {LANG_DOMAIN})) AS also, CASE WHEN max(n_chars) > 9000 THEN 'http_api' ELSE 'local_file' END AS type, count(*) > 45 AS enabled FROM documents GROUP BY 1)"
+REG = f"reg AS (SELECT source AS id, max({LANG_DOMAIN}) AS domain, list_sort(list(DISTINCT {LANG_DOMAIN})) AS also, CASE WHEN source LIKE '%9' THEN 'http_api' ELSE 'local_file' END AS type, source NOT LIKE '%5' AS enabled FROM documents GROUP BY 1)"
 
 
 @query("q_registry_fanout", f"""WITH {REG}, x AS (SELECT id, domain, unnest(also) AS lake_domain FROM reg WHERE enabled)
@@ -302,13 +303,13 @@ def registry_summary(spark, sf):
 def _plan(spark, sf):
     d = spread(table(spark, sf, "documents")).select(
         F.col("source").alias("source_id"), _domain().alias("domain"), F.concat(F.lit("raw/"), "doc_id").alias("dest"), "doc_id",
-        F.when(F.col("n_chars") >= 100, F.sha2("text", 256)).alias("sha256"), F.col("n_chars").alias("bytes"))
+        F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("bytes"))
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     known = d.join(lab, "doc_id").select("dest", F.when(F.col("quality") == 1, F.col("sha256")).otherwise("old").alias("sha256"))
     return lake.ingest_plan(d, known)
 
 
-PLAN = f"""plan AS (SELECT d.doc_id, source, CASE WHEN n_chars < 100 THEN 'missing' WHEN {LANG_DOMAIN} = 'outside' THEN 'error'
+PLAN = f"""plan AS (SELECT d.doc_id, source, CASE WHEN text IS NULL THEN 'missing' WHEN {LANG_DOMAIN} = 'outside' THEN 'error'
   WHEN l.quality = 1 THEN 'skipped_identical' ELSE 'copied' END AS action, n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 

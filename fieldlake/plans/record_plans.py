@@ -145,13 +145,13 @@ def split_balance(spark, sf):
 
 
 @query("q_leakage", f"""
-WITH r AS (SELECT source AS fact_key, CASE WHEN n_chars > 9000 THEN 'test' ELSE {S.split_of('source')} END AS split FROM documents)
+WITH r AS (SELECT source AS fact_key, CASE WHEN lang = 'es' THEN 'test' ELSE {S.split_of('source')} END AS split FROM documents)
 SELECT fact_key, min(split) AS first_split, max(split) AS last_split, count(*) AS n FROM r GROUP BY 1
 HAVING min(split) <> max(split)""")
 def leakage(spark, sf):
     d = table(spark, sf, "documents").select(
         F.col("source").alias("fact_key"),
-        F.when(F.col("n_chars") > 9000, "test").otherwise(T.assign_split(F.col("source"))).alias("split"))
+        F.when(F.col("lang") == "es", "test").otherwise(T.assign_split(F.col("source"))).alias("split"))
     return coverage.leakage(d)
 
 
@@ -392,14 +392,14 @@ def synth_market(spark, sf):
     return _out(synth.synthesize(facts, "market"))
 
 
-ADVISORY_FACTS = """facts AS (SELECT substr(text, 1, 300) AS title, substr(text, 1, 80) AS title_80, source AS content, 'benchmark' AS path
+ADVISORY_FACTS = """facts AS (SELECT text AS title, substr(text, 1, 80) AS title_80, source AS content, 'benchmark' AS path
   FROM (SELECT text, 'Follow local agri advisory.' AS source FROM benchmark))"""
 
 
 @query("q_synth_advisory", f"WITH {ADVISORY_FACTS}, {_synth_rows('advisory', 'facts', 's')} {SYNTH_OUT} FROM s")
 def synth_advisory(spark, sf):
     facts = table(spark, sf, "benchmark").select(
-        F.substring("text", 1, 300).alias("title"), F.substring("text", 1, 80).alias("title_80"),
+        F.col("text").alias("title"), F.substring("text", 1, 80).alias("title_80"),
         F.lit("Follow local agri advisory.").alias("content"), F.lit("benchmark").alias("path"))
     return _out(synth.synthesize(facts, "advisory"))
 

@@ -421,12 +421,11 @@ def graph_edges(spark, sf):
 
 
 @query("q_neighbors", f"""WITH {GRAPH}
-SELECT e.source AS id, 'outgoing' AS direction, relation, target AS neighbor, label FROM edges e LEFT JOIN nodes ON id = target WHERE source LIKE 'S%'
-UNION ALL SELECT e.target, 'incoming', relation, source, label FROM edges e LEFT JOIN nodes ON id = source WHERE target LIKE 'S%'""")
+SELECT e.source AS id, 'outgoing' AS direction, relation, target AS neighbor, label FROM edges e LEFT JOIN nodes ON id = target
+UNION ALL SELECT e.target, 'incoming', relation, source, label FROM edges e LEFT JOIN nodes ON id = source""")
 def neighbors(spark, sf):
     nodes, edges = _graph(spark, sf)
-    targets = nodes.filter("label = 'Supplier'").select("id")
-    return graph.neighbors(targets, nodes, edges).select("id", "direction", "relation", "neighbor", "label")
+    return graph.neighbors(nodes.select("id"), nodes, edges).select("id", "direction", "relation", "neighbor", "label")
 
 
 @query("q_ecosystem", f"""WITH {GRAPH}, a AS (SELECT source AS id, relation FROM edges UNION ALL SELECT target, relation FROM edges)

@@ -239,19 +239,19 @@ def ngram_jaccard(spark, sf):
         F.round(dedup.jaccard(F.col("s"), F.col("s2")), 6).alias("jaccard"))
 
 
-NEAR_LONG = _near_sql(rows="(SELECT * FROM documents WHERE n_chars >= 200)", scope="", group="", scope_col="1",
+NEAR_READABLE = _near_sql(rows="(SELECT * FROM documents WHERE source IS DISTINCT FROM 'src13')", scope="", group="", scope_col="1",
                       scope_out="", scope_join="")
 
 
-@query("q_quality_run", NEAR_LONG + """SELECT (SELECT count(*) FROM documents) AS files_scanned, count(*) AS valid,
+@query("q_quality_run", NEAR_READABLE + """SELECT (SELECT count(*) FROM documents) AS files_scanned, count(*) AS valid,
   (SELECT count(*) FROM documents) - count(*) AS invalid, count(*) AS cleaned, count(*) FILTER (status = 'kept') AS kept,
   count(*) FILTER (status = 'exact_removed') AS exact_removed, count(*) FILTER (status = 'near_removed') AS near_removed, TRUE AS ok FROM verdict""")
 def quality_run(spark, sf):
-    """Validate, clean, de-duplicate and report in one job; short documents arrive broken."""
+    """Validate, clean, de-duplicate and report in one job; the documents of one source arrive broken."""
     d = table(spark, sf, "documents")
     body = F.to_json(F.struct(F.array(F.struct("text")).alias("records")))
     files = d.select("doc_id", F.lit("market").alias("domain"), F.col("doc_id").alias("path"),
-                     F.when(F.col("n_chars") >= 200, body).otherwise('{"records": [').alias("payload"), "text")
+                     F.when(F.col("source") == "src13", '{"records": [').otherwise(body).alias("payload"), "text")
     return quality.run_quality(files, "doc_id", ["text"])
 
 
@@ -281,13 +281,13 @@ def url_dedup(spark, sf):
 
 # --- language ----------------------------------------------------------------------------
 
-HINTED = "CASE lang WHEN 'de' THEN 'यह गेहूं है ' || text WHEN 'fr' THEN 'कापूस पीक आहे' WHEN 'es' THEN 'यह फसल है' ELSE text END"
+HINTED = "CASE lang WHEN 'de' THEN 'यह गेहूं है ' || text WHEN 'fr' THEN 'कापूस पीक आहे ' || text WHEN 'es' THEN 'यह फसल है ' || text ELSE text END"
 
 
 def _hinted():
     lang = F.col("lang")
-    return (F.when(lang == "de", F.concat(F.lit("यह गेहूं है "), "text")).when(lang == "fr", "कापूस पीक आहे")
-            .when(lang == "es", "यह फसल है").otherwise(F.col("text")))
+    return (F.when(lang == "de", F.concat(F.lit("यह गेहूं है "), "text")).when(lang == "fr", F.concat(F.lit("कापूस पीक आहे "), "text"))
+            .when(lang == "es", F.concat(F.lit("यह फसल है "), "text")).otherwise(F.col("text")))
 
 
 @query("q_lang_detect", f"""
@@ -300,7 +300,7 @@ def lang_detect(spark, sf):
 
 
 @query("q_lang_pair", f"""
-WITH p AS (SELECT q.conv_id, q.turn, CASE WHEN q.turn > 1 THEN 'कापूस पीक आहे' ELSE q.text END AS q, a.text AS a
+WITH p AS (SELECT q.conv_id, q.turn, CASE WHEN q.turn > 1 THEN 'कापूस पीक आहे ' || q.text ELSE q.text END AS q, a.text AS a
   FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1
   WHERE q.role = 'user' AND a.role = 'assistant'),
 l AS (SELECT conv_id, turn, {S.language('q')} AS lq, {S.language('a')} AS la FROM p)
@@ -309,7 +309,7 @@ def lang_pair(spark, sf):
     from fieldlake.operators.standardize import conversation_pairs
 
     p = conversation_pairs(table(spark, sf, "conversations"))
-    q = F.when(F.col("turn") > 1, "कापूस पीक आहे").otherwise(F.col("question"))
+    q = F.when(F.col("turn") > 1, F.concat(F.lit("कापूस पीक आहे "), "question")).otherwise(F.col("question"))
     tagged = p.select("conv_id", "turn", T.detect_language(q).alias("lq"), T.detect_language(F.col("answer")).alias("la"))
     return tagged.withColumn("language", T.combine_languages(F.col("lq"), F.col("la")))
 

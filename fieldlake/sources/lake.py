@@ -142,13 +142,13 @@ def ingest_plan(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Action per (source_id, domain, dest) file against the manifest of earlier runs.
 
     files: source_id, domain, dest, sha256 (null if the source file is missing), bytes.
-    An identical hash at the same place is skipped, an unknown domain is an error.
+    A file is skipped if the latest run that wrote its place left the same hash there; run ids sort
+    in the order of runs. An unknown domain is an error.
     """
+    run = F.col("run_id") if "run_id" in manifest.columns else F.lit("")
     # New column names, because manifest and files may share their lineage.
-    known = manifest.select(
-        F.col("dest").alias("_dest"), F.col("sha256").alias("_sha256"), F.lit(True).alias("_seen")).distinct()
-    joined = files.join(
-        known, (F.col("dest") == F.col("_dest")) & (F.col("sha256") == F.col("_sha256")), "left")
+    known = manifest.groupBy(F.col("dest").alias("_dest")).agg(F.max_by("sha256", run).alias("_sha256"))
+    joined = files.join(known, F.col("dest") == F.col("_dest"), "left").withColumn("_seen", F.col("sha256") == F.col("_sha256"))
     action = (
         F.when(F.col("sha256").isNull(), "missing")
         .when(~F.col("domain").isin(vocab.LAKE_DOMAINS), "error")

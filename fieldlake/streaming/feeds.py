@@ -103,7 +103,7 @@ def ingest_new(files: DataFrame, manifest_path: str, progress: str) -> None:
         from fieldlake.sources.lake import append_manifest, ingest_plan, read_manifest
 
         plan = ingest_plan(batch, read_manifest(batch.sparkSession, manifest_path))
-        append_manifest(plan, manifest_path, f"stream-{batch_id}")
+        append_manifest(plan, manifest_path, f"stream-{batch_id:012d}")
 
     run_batches(files, progress, handle)
 
