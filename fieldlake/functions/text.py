@@ -84,8 +84,10 @@ def clean_text(c: Column) -> Column:
 
 def clean_each(c: Column) -> Column:
     """`clean_text` on every element of a string array; nulls stay."""
-    t = F.transform(_nfkc_each(c), drop_markup)
-    return F.transform(_unescape_each(t), tidy)
+    t = _only_where(_nfkc_each, F.exists(c, lambda x: x.rlike(r"[^\x00-\x7F]")), c)
+    t = F.transform(t, drop_markup)
+    t = _only_where(_unescape_each, F.exists(t, lambda x: F.contains(x, F.lit("&"))), t)
+    return F.transform(t, tidy)
 
 
 def clean_value(c: Column, dt: DataType) -> Column:
