@@ -21,6 +21,9 @@ from fieldlake.sources.store import materialize
 
 #: Vectors of a block, at most about; rows of a comparison held at once.
 BLOCK, STRIP = 4_096, 512
+#: Pivots at most: they and a row per cell are all that the driver and each task hold. Fuller cells
+#: are split into more blocks, so every pair that may link is still compared.
+PIVOTS = 1_024
 #: Slack of the single-precision pass and of the cell bounds.
 SLACK = 1e-4
 
@@ -96,9 +99,8 @@ def range_links(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFr
     """(class_id, links, root) from all pairs of classes with at least `cosine`; a class can have several rows."""
     spark = classed.sparkSession
     n = classed.count()
-    n_pivots = max(1, -(-n // block))
+    n_pivots = max(1, min(PIVOTS, -(-n // block)))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
-    # bounded by rows / block; the vectors themselves stay distributed
     pivots = classed.select("emb").orderBy(F.xxhash64("emb"), "emb").limit(n_pivots).toPandas()["emb"]
     if not len(pivots):
         return spark.createDataFrame([], f"class_id {dict(classed.dtypes)['class_id']}, links long, root {dict(classed.dtypes)['class_id']}")
