@@ -137,8 +137,9 @@ def brute_vectors(rows, cosine):
     return out
 
 
-@pytest.mark.parametrize("block", [5, 1000])
-def test_vectors_against_brute_force(spark, block):
+@pytest.mark.parametrize("block,pivots", [(5, 3), (1000, 1024)])
+def test_vectors_against_brute_force(spark, block, pivots, monkeypatch):
+    monkeypatch.setattr(vectors, "PIVOTS", pivots)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8))
     rows = [(k, (centres[k % 6] + rng.normal(size=8) * 0.2).tolist()) for k in range(60)]
