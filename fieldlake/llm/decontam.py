@@ -15,22 +15,21 @@ from fieldlake.sources.store import materialize
 
 #: Words of a window.
 SIZE = 10
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def raw_words(text: Column) -> Column:
-    """Runs of ASCII letters and digits and other characters from U+0080, case kept; null has none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
-
-
-def folded(word: Column) -> Column:
+def folded(text: Column) -> Column:
     """A-Z to lower case and nothing else."""
-    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def exact_words(text: Column) -> Column:
-    return F.transform(raw_words(text), folded)
+    """Runs of ASCII letters (in lower case) and digits and other characters from U+0080; null has none.
+
+    Split rather than extracted: Spark copies the whole text for each match that it extracts.
+    """
+    return F.coalesce(F.array_remove(F.split(folded(text), _BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -49,11 +48,11 @@ def anchors(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFram
     Windows with a word that no document has cannot occur and are left out.
     """
     one = materialize(windows.select("win", "words").distinct(), "windows")
-    spread = one.select("win", "words", F.posexplode("words").alias("at", "word")).withColumn("word", F.lower("word"))
+    spread = one.select("win", "words", F.posexplode("words").alias("at", "word"))
     # a written table: Spark sees its size and broadcasts it only below its threshold
     vocabulary = materialize(spread.select("word").distinct().repartition(1), "window-words")
     counts = (
-        docs.select(F.explode(raw_words(F.col(text).cast("string"))).alias("word")).select(F.lower("word").alias("word"))
+        docs.select(F.explode(exact_words(F.col(text).cast("string"))).alias("word"))
         .join(vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
     rare = spread.join(counts, "word", "left").groupBy("win", "words").agg(
@@ -71,10 +70,7 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     base = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).cast("string").alias("text")).where("text is not null")
     anchored = materialize(anchors(base, windows).repartition(1), "anchors")
     places = anchored.select("anchor", "at", F.size("words").alias("length"), "win")
-    spread = (
-        base.select("doc", raw_words(F.col("text")).alias("w")).select("doc", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        .select("doc", "n", "pos", F.lower("word").alias("anchor"))
-    )
+    spread = base.select("doc", exact_words(F.col("text")).alias("w")).select("doc", F.size("w").alias("n"), F.posexplode("w").alias("pos", "anchor"))
     candidates = materialize(
         spread.join(places, "anchor").select("doc", "n", (F.col("pos") - F.col("at")).alias("start"), "length", "win")
         .where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n"))).select("doc", "start", "win"), "candidates")
@@ -104,7 +100,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         .groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))  # at most the benchmark's items
     )
     found = materialize(covered.join(named, "doc"), "contaminated")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("doc"), F.size(raw_words(F.col(text).cast("string"))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("doc"), F.size(exact_words(F.col(text).cast("string"))).cast("long").alias("n_words"))
     names = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(found, "doc", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
