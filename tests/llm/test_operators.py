@@ -197,6 +197,23 @@ def test_secrets(spark):
     assert secrets.scan(frame.limit(0), secrets.fit(frame.limit(0))).count() == 0
 
 
+def test_secrets_are_learned_outside_the_sample(spark):
+    key = "AKIA" + "Q7" * 8
+    rows = [(k, f"commit {k:040x} is fine", "s") for k in range(300)] + [(1000 + k, f'x token = "{"9f" * 20}" and {key}', "s") for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {k: k >= 1000 for k, _, _ in rows}
+    for given in (frame, frame.where("doc_id >= 1000")):  # both classes, and secrets alone
+        forest = secrets.fit(given, sample=1, per_class=20)
+        for r in secrets.scan(given, forest).collect():
+            assert r["is_secret"] == want[r["doc_id"]]
+        assert {r["text"] for r in secrets.redact(given, forest).where("doc_id >= 1000").collect()} == {'x token = "[SECRET]" and [SECRET]'}
+    # without a secret to learn from, a certain one is still one; with secrets alone, other strings are none
+    negative = secrets.fit(frame.where("doc_id < 1000"))
+    assert {r["is_secret"] for r in secrets.scan(frame.where("doc_id >= 1000"), negative).collect()} == {True}
+    positive = secrets.fit(frame.where("doc_id >= 1000"))
+    assert {r["is_secret"] for r in secrets.scan(frame.where("doc_id < 1000"), positive).collect()} == {False}
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         ("a", None, "get", '{"z": 1, "q": "x"}'), ("b", "a", "get", '{"q": "y"}'), ("c", "b", "get", "{oops"), ("d", "e", "get", '{"q": "x"}'), ("e", "d", "get", '{"q": "x"}'),
