@@ -1,10 +1,11 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A document is the weighted set of its five-word shingles (weight 1 + log of the count). Each
-element's arrivals are a Poisson process of that rate; every arrival falls on a register, and a
-register keeps the element that arrived first. The share of equal registers of two documents
-estimates their probability Jaccard similarity. An element stops as soon as its next arrival is
-later than the latest register. Bands of registers give candidates; candidates are verified on
+A document is the set of its five-word shingles. Each element's arrivals are a Poisson process;
+every arrival falls on a register, and a register keeps the element that arrived first. All
+elements have weight 1, however often they occur: so the share of equal registers of two documents
+estimates the plain Jaccard similarity that links are decided by, also where one of them repeats
+passages (weights by count would estimate less there). An element stops as soon as its next arrival
+is later than the latest register. Bands of registers give candidates; candidates are verified on
 the whole shingle sets: linked if their plain Jaccard similarity is at least the threshold.
 
 Exact copies share one signature row. In a band's bucket every member is first compared with the
@@ -29,12 +30,12 @@ from fieldlake.sources.store import materialize
 
 #: Words of a shingle; similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands and registers of a band: two texts of similarity 0.8 share no band with a chance of 2e-7,
-#: of 0.65 with 2e-3.
+#: Bands and registers of a band: two texts of similarity 0.8 share no band with a chance of 1.4e-7,
+#: of 0.65 with 3e-3.
 BANDS, ROWS = 30, 4
 #: Least share of equal registers of candidates that are verified; at a true similarity of 0.8 fewer
-#: equal registers have a chance of 1e-5.
-ESTIMATE = 0.65
+#: equal registers have a chance of 2e-10.
+ESTIMATE = 0.55
 #: Buckets up to this size are paired by a join, larger ones in blocks of about BLOCK; shingles of
 #: one matrix product.
 SMALL, BLOCK, COLUMNS = 16, 1_000, 8_192
@@ -58,17 +59,16 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 def signatures(texts: list[str], registers: int = BANDS * ROWS, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(first arrivals' element hashes [texts, registers] as uint32, whether the text has shingles)."""
-    text, value, count = shingles(texts, width)
+    text, value, _ = shingles(texts, width)
     first = np.full(len(texts) * registers, np.inf)
     element = np.zeros(len(texts) * registers, np.uint32)
-    rate = 1 + np.log(count)
     time = np.zeros(len(text))
     done, step = 0, 1
     alive = np.arange(len(text))
     while len(alive):
         draws = np.arange(done, done + step, dtype=np.uint64) * np.uint64(2)
         seed = value[alive][:, None] + mix(draws)[None, :]
-        arrival = time[alive][:, None] + np.cumsum(-np.log(_uniform(seed)), 1) / rate[alive][:, None]
+        arrival = time[alive][:, None] + np.cumsum(-np.log(_uniform(seed)), 1)
         register = (mix(seed + np.uint64(1)) % np.uint64(registers)).astype(np.int64)
         slot = (text[alive][:, None] * registers + register).ravel()
         when = arrival.ravel()

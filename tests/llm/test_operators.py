@@ -287,6 +287,23 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - 296 / 496) < 0.05
 
 
+def test_near_copies_that_repeat_passages_are_found(spark):
+    rng, texts, similar = np.random.default_rng(3), [], []
+    for k in range(60):
+        a = [f"d{k}w{x}" for x in range(160)]
+        b = list(a)
+        b[int(rng.integers(90, 150))] = f"d{k}new"
+        b = b[:80] * 10 + b[80:]
+        texts += [" ".join(a), " ".join(b)]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        similar.append(len(x & y) / len(x | y))
+    assert min(similar) >= 0.88
+    sig, _ = minhash.signatures(texts, 2000)
+    assert np.abs((sig[::2] == sig[1::2]).mean(1) - similar).max() < 0.05
+    got = {r["doc_id"]: r["cluster_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
 def test_decontamination_against_brute_force(spark):
     item = [f"W{k}" for k in range(14)]
     docs = [(1, "x " + " ".join(item[2:13]) + " y " + " ".join(item[:12])), (2, None), (3, ""), (4, " ".join(item[:9])), (5, "tiny ITEM here, Tiny item"),
