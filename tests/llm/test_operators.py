@@ -214,6 +214,27 @@ def test_secrets_are_learned_outside_the_sample(spark):
     assert {r["is_secret"] for r in secrets.scan(frame.where("doc_id < 1000"), positive).collect()} == {False}
 
 
+def test_secret_candidates():
+    def found(text):
+        out = secrets.candidates(text)
+        assert all(text[at : at + len(s)] == s for at, s in out)
+        assert all(a + len(s) <= b for (a, s), (b, _) in zip(out, out[1:], strict=False))
+        return [s for _, s in out]
+
+    upper = "AKIA" + "QWXZJKVB" * 2
+    assert found("password=Tr0ub4dor&3 and more") == ["Tr0ub4dor&3"]
+    assert found('{"db_password": "a b!c", "api-key": \'x.y@z#$\'}') == ["a b!c", "x.y@z#$"]
+    assert found("PWD: hunter2, user: bob") == ["hunter2"] and found("token = é") == ["é"]
+    assert found(f"see {upper} here") == [upper] and found(f"config/{upper} x") == [upper] and found(f"aws_{upper}") == [upper]
+    assert found("secret =\n") == [] and found("password=") == [] and found("a: b = c") == []
+    assert found("commit 0123456789abcdef0123 token=x9 then ghp_abcdefghijklmnop") == ["0123456789abcdef0123", "x9", "ghp_abcdefghijklmnop"]
+    known = np.zeros(26**3, bool)
+    for text in ("password=Tr0ub4dor&3", f"config/{upper} x", "DB_PASSWORD: aB3$"):
+        for at, s in secrets.candidates(text):
+            x = secrets.describe(text, at, s, None, known)
+            assert len(x) == len(secrets.NAMES) and secrets.rule_label(x) == (None if s == "aB3$" else 1)
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         ("a", None, "get", '{"z": 1, "q": "x"}'), ("b", "a", "get", '{"q": "y"}'), ("c", "b", "get", "{oops"), ("d", "e", "get", '{"q": "x"}'), ("e", "d", "get", '{"q": "x"}'),
