@@ -303,7 +303,8 @@ def registry_summary(spark, sf):
 def _plan(spark, sf):
     d = spread(table(spark, sf, "documents")).select(
         F.col("source").alias("source_id"), _domain().alias("domain"), F.concat(F.lit("raw/"), "doc_id").alias("dest"), "doc_id",
-        F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("bytes"))
+        F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("bytes"),
+        F.col("text").alias("payload"))
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     known = d.join(lab, "doc_id").select("dest", F.when(F.col("quality") == 1, F.col("sha256")).otherwise("old").alias("sha256"))
     return lake.ingest_plan(d, known)
@@ -327,9 +328,12 @@ def ingest_counters(spark, sf):
 @query("q_manifest_rerun", f"""WITH {PLAN} SELECT CASE WHEN action = 'copied' THEN 'skipped_identical' WHEN action = 'skipped_identical' THEN 'copied' ELSE action END AS action, count(*) AS n
 FROM plan GROUP BY 1""")
 def manifest_rerun(spark, sf):
-    """Append the manifest of a run and plan again: what was copied is now skipped."""
-    path = feeds.sink_folder(spark, "manifest") + "/files"
-    lake.append_manifest(_plan(spark, sf), path, "first")
+    """Copy the files of a run, append its manifest and plan again: what was copied is now skipped."""
+    base = feeds.sink_folder(spark, "manifest")
+    path = f"{base}/files"
+    plan = _plan(spark, sf)
+    lake.copy_files(plan, f"{base}/payloads", "first")
+    lake.append_manifest(plan, path, "first")
     again = lake.ingest_plan(_plan(spark, sf).drop("action"), lake.read_manifest(spark, path))
     return again.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
@@ -400,8 +404,8 @@ def stream_ingest(spark, sf):
     files = _stream(spark, sf).select(
         F.lit("events").alias("source_id"), F.lit("general").alias("domain"),
         F.concat_ws("/", "event_type", "user_id").alias("dest"), F.sha2("props", 256).alias("sha256"),
-        F.length("props").alias("bytes")).dropDuplicates(["dest", "sha256"])
-    feeds.ingest_new(files, f"{base}/manifest", f"{base}/progress")
+        F.length("props").alias("bytes"), F.col("props").alias("payload")).dropDuplicates(["dest", "sha256"])
+    feeds.ingest_new(files, f"{base}/manifest", f"{base}/progress", f"{base}/payloads")
     m = lake.read_manifest(spark, f"{base}/manifest")
     return m.groupBy(F.split("dest", "/")[0].alias("domain")).agg(F.count(F.lit(1)).alias("files"))
 

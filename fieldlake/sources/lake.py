@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
@@ -34,6 +35,7 @@ REGISTRY_SCHEMA = ty.StructType([
     ty.StructField("notes", ty.StringType()),
 ])
 MANIFEST_SCHEMA = "dest string, sha256 string, bytes bigint, domain string, source_id string, run_id string"
+STORE_SCHEMA = "dest string, sha256 string, payload string, bytes bigint, domain string, source_id string, run_id string, ingested_at timestamp"
 
 
 # --- scans ------------------------------------------------------------------------------
@@ -167,6 +169,26 @@ def ingest_counters(plan: DataFrame) -> DataFrame:
     ).withColumn("ok", F.col("failed") == 0)
 
 
+def copy_files(plan: DataFrame, store: str, run_id: str) -> None:
+    """Write payload and meta row of every copied file to the Parquet store below the destination.
+
+    plan: the columns of `ingest_plan` and `payload`. What this run has stored already is not stored
+    again, so a repeat after a failure adds nothing. It comes before `append_manifest`: a file that
+    the manifest names is in the store.
+    """
+    rows = plan.filter(F.col("action") == "copied").select(
+        "dest", "sha256", F.col("payload").cast("string").alias("payload"), F.col("bytes").cast("bigint").alias("bytes"), "domain", "source_id",
+        F.lit(run_id).alias("run_id"), F.current_timestamp().alias("ingested_at"))
+    stored = read_parquet_or_empty(plan.sparkSession, store, STORE_SCHEMA).filter(F.col("run_id") == run_id).select("dest", "sha256")
+    rows.join(stored, ["dest", "sha256"], "left_anti").select(*[c.split()[0] for c in STORE_SCHEMA.split(", ")]).write.mode("append").parquet(store)
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The latest content and meta row of every place; run ids sort in the order of runs."""
+    rows = read_parquet_or_empty(spark, store, STORE_SCHEMA)
+    return rows.groupBy("dest").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "dest"]), "run_id").alias("r")).select("dest", "r.*")
+
+
 def append_manifest(plan: DataFrame, path: str, run_id: str) -> None:
     """Append the copied rows; the next run's plan skips them."""
     rows = plan.filter(F.col("action") == "copied").select(
@@ -176,12 +198,23 @@ def append_manifest(plan: DataFrame, path: str, run_id: str) -> None:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest so far; an absent one is empty."""
+    return read_parquet_or_empty(spark, path, MANIFEST_SCHEMA)
+
+
+def read_parquet_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet files of a folder; an absent one is empty."""
     folder, _, name = path.rstrip("/").rpartition("/")
-    known = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.parquet").load(folder).filter(F.contains("path", F.lit(f"/{name}/"))).select("path")
-    if known.isEmpty():
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+    try:
+        known = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+            "pathGlobFilter", "*.parquet").load(folder).filter(F.contains("path", F.lit(f"/{name}/"))).select("path")
+        absent = known.isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        absent = True
+    if absent:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 # --- sinks ------------------------------------------------------------------------------------

@@ -93,16 +93,17 @@ def run_batches(df: DataFrame, progress: str, handle: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def ingest_new(files: DataFrame, manifest_path: str, progress: str) -> None:
-    """Append new (dest, sha256) rows of a file stream to the manifest.
+def ingest_new(files: DataFrame, manifest_path: str, progress: str, store: str) -> None:
+    """Copy new (dest, sha256, payload) rows of a file stream to the store, then append them to the manifest.
 
     The batch id is stored with the rows, so a batch replayed after a failure adds nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        from fieldlake.sources.lake import append_manifest, ingest_plan, read_manifest
+        from fieldlake.sources.lake import append_manifest, copy_files, ingest_plan, read_manifest
 
         plan = ingest_plan(batch, read_manifest(batch.sparkSession, manifest_path))
+        copy_files(plan, store, f"stream-{batch_id:012d}")
         append_manifest(plan, manifest_path, f"stream-{batch_id:012d}")
 
     run_batches(files, progress, handle)

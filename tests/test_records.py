@@ -144,6 +144,24 @@ def test_ingest_is_idempotent(spark, lake_root, tmp_path):
         lake.append_manifest(plan, manifest, run)
 
 
+def test_ingest_copies_before_it_records(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    manifest, store = str(tmp_path / "out" / "files"), str(tmp_path / "out" / "store")
+    seen = []
+    # a run that ends between copy and manifest is repeated; then one file changes, and changes back
+    for run, text, recorded in (("r1", "one", False), ("r1", "one", True), ("r2", "two", True), ("r3", "one", True)):
+        files = spark.createDataFrame([("s", "crop", "raw/a", text), ("s", "crop", "raw/b", "same"), ("s", "outside", "raw/c", "bad"), ("s", "crop", "raw/d", None)],
+                                      "source_id string, domain string, dest string, payload string").select("*", F.sha2("payload", 256).alias("sha256"), F.length("payload").alias("bytes"))
+        plan = lake.ingest_plan(files, lake.read_manifest(spark, manifest))
+        lake.copy_files(plan, store, run)
+        if recorded:
+            lake.append_manifest(plan, manifest, run)
+        got = {r["dest"]: r for r in lake.read_store(spark, store).collect()}
+        assert {k: r["payload"] for k, r in got.items()} == {"raw/a": text, "raw/b": "same"} and got["raw/b"]["run_id"] == "r1"
+        seen.append(spark.read.parquet(store).count())
+    assert seen == [2, 2, 3, 4]
+
+
 def test_registry(spark, tmp_path):
     path = tmp_path / "sources.json"
     path.write_text(json.dumps({"sources": [
