@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlake.llm import decontam, language, minhash, packing, quality, secrets, tokens, toolcalls, urlfilter, vectors
+from fieldlake.llm import decontam, divergence, extract, language, minhash, packing, quality, repair, secrets, tokens, toolcalls, urlfilter, vectors
 from fieldlake.session import table
 
 
@@ -53,8 +53,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language, op3_token_counts, op4_vectors, op5_quality, op6_secrets, op7_tool_calls, op8_url_lists, op9_minhash, op10_decontamination)
+    for f in (
+        op1_packing, op2_language, op3_token_counts, op4_vectors, op5_quality, op6_secrets, op7_tool_calls, op8_url_lists, op9_minhash,
+        op10_decontamination, op11_divergence, op12_extraction, op13_repair)
+}
+ORACLES = {
+    "op7_tool_calls": toolcalls.ORACLE, "op8_url_lists": urlfilter.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_divergence": divergence.ORACLE,
 }
-ORACLES = {"op7_tool_calls": toolcalls.ORACLE, "op8_url_lists": urlfilter.ORACLE, "op10_decontamination": decontam.ORACLE}
