@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from fieldlake.functions import vocab
 from fieldlake.functions.embedding import hash_embed
-from fieldlake.operators import graph, queryplan, retrieval
+from fieldlake.operators import cells, graph, queryplan, retrieval
+from fieldlake.operators.searchindex import SearchIndex
 from fieldlake.plans import sql as S
 from fieldlake.plans.sql import query
 from fieldlake.session import table
@@ -27,6 +28,18 @@ def _body():
     return F.concat("text", F.lit(" "), "source")
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _index(spark, sf) -> SearchIndex:
+    """The search index of a folder's documents: built once per application, then only brought up to date."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex(spark, dense=True)
+    _INDEXES[key].sync(_docs(spark, sf), "doc_id", _body())
+    return _INDEXES[key]
+
+
 def _tokens_sql(name: str, src: str, pattern: str) -> str:
     return (f"{name} AS MATERIALIZED (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM "
             f"(SELECT id, regexp_extract_all(lower(t), '{pattern}') AS ts FROM {src}))")
@@ -91,22 +104,28 @@ def index_stats(spark, sf):
 
 @query("q_bm25", f"WITH {BM25} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= {TOP} AND score > 0")
 def bm25(spark, sf):
-    docs = _docs(spark, sf)
-    post = retrieval.build_index(docs, "doc_id", _body())
-    stats = materialize(retrieval.corpus_stats(docs, _body()), "corpus-stats")
-    hits = retrieval.bm25(_queries(spark, sf), post, stats, TOP)
+    hits = _index(spark, sf).bm25(_queries(spark, sf), TOP)
     return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("q_tfidf", f"WITH {BM25}, {TFIDF} SELECT qid, doc_id, round(score, 6) AS score, rank FROM tf WHERE rank <= {TOP}")
 def tfidf(spark, sf):
-    from fieldlake.functions import text as T
+    hits = _index(spark, sf).tfidf(_queries(spark, sf), TOP)
+    return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
+
+@query("q_index_append", f"WITH {BM25}, {TFIDF} SELECT 'bm25' AS channel, qid, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= {TOP} AND score > 0 "
+       f"UNION ALL SELECT 'sparse_tfidf', qid, doc_id, round(score, 6), rank FROM tf WHERE rank <= {TOP}")
+def index_append(spark, sf):
+    """An index of an earlier state, with missing, different and superfluous documents, brought up to date: as if built anew."""
     docs = _docs(spark, sf)
-    post = retrieval.build_index(docs, "doc_id", _body(), T.TOKEN_WORD)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    hits = retrieval.tfidf(_queries(spark, sf), post, n.scalar(), TOP)
-    return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    earlier = docs.where("doc_id % 3 > 0").withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.reverse("text")).otherwise(F.col("text")))
+    index = SearchIndex(spark)
+    index.append(earlier.unionByName(docs.withColumn("doc_id", -F.col("doc_id") - 1)), "doc_id", _body())
+    index.sync(docs, "doc_id", _body())
+    asked = _queries(spark, sf)
+    hits = index.bm25(asked, TOP).withColumn("channel", F.lit("bm25")).unionByName(index.tfidf(asked, TOP).withColumn("channel", F.lit("sparse_tfidf")))
+    return hits.select("channel", "qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("q_hash_embed", f"""WITH docs AS (SELECT doc_id AS id, text AS t FROM documents), {_embed_sql('ed', 'docs')},
@@ -120,9 +139,7 @@ def hash_embedding(spark, sf):
 
 @query("q_dense_search", f"WITH {BM25}, {DENSE} SELECT qid, doc_id, round(score, 5)::DOUBLE AS score FROM de WHERE rank <= {TOP} AND score > 0.01")
 def dense_search(spark, sf):
-    vecs = materialize(retrieval.embed_documents(_docs(spark, sf), "doc_id", _body()), "vectors")
-    asked = materialize(_queries(spark, sf).select("qid", hash_embed(F.col("query")).alias("vec")), "query-vectors")
-    hits = retrieval.dense_topk(asked, vecs, TOP)
+    hits = _index(spark, sf).dense_search(_queries(spark, sf), TOP)
     return hits.select("qid", "doc_id", F.round("score", 5).alias("score"))
 
 
@@ -138,7 +155,8 @@ def dense_topk(spark, sf):
         F.avg(F.col("x").cast("double")).alias("x"))
     centre = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
     asked = centre.select(F.col("label").alias("qid"), F.transform("p", lambda s: s["x"]).alias("vec"))
-    hits = retrieval.dense_topk(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), TOP)
+    held = cells.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+    hits = cells.topk(asked, held, TOP)
     return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -152,7 +170,7 @@ rr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round
 
 @query("q_rrf", f"WITH {BM25}, {TFIDF}, {DENSE}, {RRF} SELECT qid, doc_id, round(s, 6) AS rrf_score, origins FROM rr WHERE rank <= {TOP}")
 def rrf(spark, sf):
-    hits = retrieval.hybrid_search(_queries(spark, sf), _docs(spark, sf), "doc_id", _body(), TOP)
+    hits = _index(spark, sf).hybrid(_queries(spark, sf), TOP)
     return hits.select("qid", "doc_id", F.round("rrf_score", 6).alias("rrf_score"), "origins")
 
 
@@ -285,7 +303,7 @@ def multi_query(spark, sf):
     plans = materialize(queryplan.expand_queries(queryplan.plan_queries(_queries(spark, sf))), "expansions")
     asked = plans.select(F.struct("qid", "variant").alias("k"), "query").select(
         F.to_json("k").alias("qid"), "query")
-    hits = retrieval.hybrid_search(asked, _docs(spark, sf), "doc_id", _body(), TOP)
+    hits = _index(spark, sf).hybrid(asked, TOP)
     back = hits.select(F.from_json("qid", "qid bigint, variant int").alias("k"), "doc_id", "rank").select("k.*", "doc_id", "rank")
     fused = retrieval.multi_query_fusion(back, TOP)
     return fused.select("qid", "doc_id", F.round("rrf_score", 6).alias("rrf_score"))
