@@ -210,6 +210,15 @@ def latest_by(readings: DataFrame, key: str, ts: str, tie: str, *values: str) ->
     return readings.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(ts, tie)).alias("r")).select(key, "r.*")
 
 
+def latest_fields(updates: DataFrame, key: str, ts: str, tie: str, *fields: str) -> DataFrame:
+    """Per key every field's newest given value: updates are merged one after another, and one that
+    does not give a field leaves what an earlier one gave. Partially aggregated per field."""
+    def newest(f: str) -> Column:
+        return F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(ts, tie))).alias(f)
+
+    return updates.groupBy(key).agg(*[newest(f) for f in fields])
+
+
 def upsert_farms(current: DataFrame, updates: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Insert unknown farms with defaults; overwrite only the given fields of known ones.
 

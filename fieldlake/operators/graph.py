@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.operators.retrieval import contains_join
+from fieldlake.sources.store import materialize
 
 # Role of a neighbour by relation.
 ROLES = {
@@ -73,3 +74,27 @@ def ecosystem_counts(around: DataFrame) -> DataFrame:
     eco = ecosystem(around)
     names = list(dict.fromkeys(ROLES.values()))
     return eco.groupBy("id").agg(*[F.count_if(F.col("role") == r).alias(r) for r in names])
+
+
+def within_hops(targets: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(id, hop, node, via, path) of every node within `hops` of each `id` of targets, both directions.
+
+    `hop` is the least number of edges, `via` the node before, `path` the relations from the target,
+    outgoing as >RELATION and incoming as <RELATION; of several ways the least (path, via) is kept. The
+    frontier of each hop is expanded by a splittable join, reduced to one row per target and node,
+    and freed of what earlier hops have reached before it is written.
+    """
+    steps = edges.select(F.col("source").alias("at"), F.col("target").alias("to"), F.concat(F.lit(">"), "relation").alias("step")).unionByName(
+        edges.select(F.col("target").alias("at"), F.col("source").alias("to"), F.concat(F.lit("<"), "relation").alias("step")))
+    steps = materialize(steps, "graph-steps")
+    frontier = targets.select("id", F.col("id").alias("node"), F.lit("").alias("path")).distinct()
+    reached = frontier.select("id", "node")
+    found = None
+    for hop in range(1, hops + 1):
+        met = frontier.join(steps, F.col("node") == F.col("at")).select(
+            "id", F.col("to").alias("node"), F.struct(F.concat("path", "step").alias("path"), F.col("at").alias("via")).alias("way"))
+        fresh = met.groupBy("id", "node").agg(F.min("way").alias("way")).join(reached, ["id", "node"], "left_anti")
+        frontier = materialize(fresh.select("id", F.lit(hop).alias("hop"), "node", "way.via", "way.path"), "graph-frontier")
+        found = frontier if found is None else found.unionByName(frontier)
+        reached = reached.unionByName(frontier.select("id", "node"))
+    return found

@@ -8,8 +8,8 @@ from fieldlake.operators import farm, market
 from fieldlake.plans.record_plans import _market_rows
 from fieldlake.plans.sql import query
 from fieldlake.session import table
-from fieldlake.sources import lake
-from fieldlake.sources.store import spread
+from fieldlake.sources import lake, manifest
+from fieldlake.sources.store import materialize, spread
 from fieldlake.streaming import feeds
 
 # --- market ---------------------------------------------------------------------------------
@@ -238,23 +238,37 @@ def soil_card(spark, sf):
 # --- farm memory -------------------------------------------------------------------------------------
 
 @query("q_farm_upsert", """
-WITH u AS (SELECT o_custkey * 2 AS farm_id, arg_max(o_totalprice, [epoch_us(o_orderdate), o_orderkey]) AS acres, arg_max(o_orderpriority, [epoch_us(o_orderdate), o_orderkey]) AS crop
+WITH u AS (SELECT o_custkey * 2 AS farm_id, arg_max(o_totalprice, [epoch_us(o_orderdate), o_orderkey]) AS acres, arg_max(o_orderpriority, [epoch_us(o_orderdate), o_orderkey]) FILTER (o_orderpriority <> '5-LOW') AS crop
   FROM orders GROUP BY 1)
 SELECT coalesce(c_custkey, farm_id) AS farm_id, coalesce(c_name, 'Unknown Farmer') AS farmer_name, CASE WHEN c_custkey IS NULL THEN 'Maharashtra' ELSE 'nation ' || c_nationkey END AS district,
-  coalesce(acres, c_acctbal, 1.0) AS land_area_acres, coalesce(CASE WHEN crop = '5-LOW' THEN NULL ELSE crop END, c_mktsegment, '') AS current_crop
+  coalesce(acres, c_acctbal, 1.0) AS land_area_acres, coalesce(crop, c_mktsegment, '') AS current_crop
 FROM customer FULL OUTER JOIN u ON c_custkey = farm_id""")
 def farm_upsert(spark, sf):
     current = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("farm_id"), F.col("c_name").alias("farmer_name"), F.concat(F.lit("nation "), "c_nationkey").alias("district"),
         F.col("c_acctbal").alias("land_area_acres"), F.col("c_mktsegment").alias("current_crop"))
-    o = table(spark, sf, "orders").withColumn("farm_id", F.col("o_custkey") * 2)
-    latest = farm.latest_by(o, "farm_id", "o_orderdate", "o_orderkey", "o_totalprice", "o_orderpriority")
-    updates = latest.select("farm_id", F.col("o_totalprice").alias("land_area_acres"),
-                            F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("current_crop"))
+    updates = farm.latest_fields(_farm_updates(spark, sf), "farm_id", "o_orderdate", "o_orderkey", "land_area_acres", "current_crop")
     return farm.upsert_farms(current, updates, {
         "farmer_name": F.lit("Unknown Farmer"), "district": F.lit("Maharashtra"), "land_area_acres": F.lit(1.0), "current_crop": F.lit("")})
 
 
+def _farm_updates(spark, sf):
+    """Orders as farm updates; those of the lowest priority do not give a crop."""
+    return table(spark, sf, "orders").select(
+        (F.col("o_custkey") * 2).alias("farm_id"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("land_area_acres"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("current_crop"))
+
+
+@query("q_stream_upsert", """
+SELECT o_custkey * 2 AS farm_id, arg_max(o_totalprice, [epoch_us(o_orderdate), o_orderkey]) AS land_area_acres,
+  arg_max(o_orderpriority, [epoch_us(o_orderdate), o_orderkey]) FILTER (o_orderpriority <> '5-LOW') AS current_crop FROM orders GROUP BY 1""")
+def stream_upsert(spark, sf):
+    base, fields = feeds.sink_folder(spark, "upsert"), ["land_area_acres", "current_crop"]
+    updates = feeds.replayed(_farm_updates(spark, sf), "o_orderdate", 3, "orders")
+    feeds.upsert_fields(updates, "farm_id", "o_orderdate", "o_orderkey", fields, f"{base}/state", f"{base}/progress")
+    return feeds.read_fields(spark, f"{base}/state", "farm_id", fields)
+
+
 @query("q_action_log", """
 SELECT o_custkey AS farm_id, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS date, o_orderpriority AS type, 'Order ' || o_orderkey AS details
 FROM orders JOIN customer ON c_custkey = o_custkey""")
@@ -354,6 +368,31 @@ def layer_stats(spark, sf):
     return lake.layer_stats(j, layer)
 
 
+RUN = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 10"
+
+
+@query("q_ingest_revert", f"""
+WITH f AS (SELECT {RUN} AS run, event_type || '/' || user_id AS dest, event_id, sha256(props) AS h FROM events),
+a AS (SELECT *, CASE WHEN h = lag(h) OVER (PARTITION BY dest ORDER BY run, event_id) THEN 'skipped_identical' ELSE 'copied' END AS action FROM f)
+SELECT CAST(run AS VARCHAR) AS run, dest, count(*) FILTER (action = 'copied') AS copied, count(*) FILTER (action = 'skipped_identical') AS skipped,
+  arg_max(h, event_id) AS sha256 FROM a GROUP BY ALL""")
+def ingest_revert(spark, sf):
+    """Events as versions of files in three runs, several contents of a place in a run; the manifest after each."""
+    run = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 10).cast("string")
+    files = table(spark, sf, "events").select(
+        run.alias("run"), F.lit("events").alias("source_id"), F.lit("general").alias("domain"), F.concat_ws("/", "event_type", "user_id").alias("dest"),
+        F.sha2("props", 256).alias("sha256"), F.length("props").alias("bytes"), "event_id")
+    held = manifest.Manifest(spark, feeds.sink_folder(spark, "keyed-manifest"))
+    out = None
+    for name in sorted(r[0] for r in files.select("run").distinct().collect()):  # one per ten days
+        plan = materialize(held.plan(files.where(F.col("run") == name), "event_id"), "ingest-plan")
+        held.commit(plan, "event_id", name)
+        counts = plan.groupBy("run", "dest").agg(F.count_if(F.col("action") == "copied").alias("copied"), F.count_if(F.col("action") == "skipped_identical").alias("skipped"))
+        after = counts.join(materialize(held.read().select("dest", "sha256"), "manifest-now"), "dest")
+        out = after if out is None else out.unionByName(after)
+    return out.select("run", "dest", "copied", "skipped", "sha256")
+
+
 # --- streams over the event files -----------------------------------------------------------------------
 
 
@@ -390,11 +429,31 @@ def stream_windows(spark, sf):
     return done.select("user_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", F.round("avg_value", 6).alias("avg_value"))
 
 
-@query("q_stream_ttl", "SELECT DISTINCT user_id, event_type, CAST(epoch_us(ts) // 600000000 AS BIGINT) AS period FROM events")
+@query("q_stream_ttl", """
+WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, ts FROM events),
+a AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY ALL
+  UNION ALL SELECT a.user_id, a.event_type, (SELECT min(e.ts) FROM e WHERE e.user_id = a.user_id AND e.event_type = a.event_type AND e.ts >= a.ts + INTERVAL 1 DAY)
+  FROM a WHERE a.ts IS NOT NULL)
+SELECT user_id, event_type, epoch_us(ts) AS answered_us FROM a WHERE ts <= (SELECT epoch_ms(epoch_ms(max(ts))) FROM events) - INTERVAL 1 HOUR""")
 def stream_ttl(spark, sf):
-    e = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = feeds.fresh_answers(e, ["user_id", "event_type"], "ts").select("user_id", "event_type", "period")
-    return feeds.run_once(out, feeds.sink_folder(spark, "ttl"))
+    """Each answer holds for a day from when it was given; requests of the last hour still wait for late ones."""
+    e = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    out = feeds.first_answers(feeds.replayed(e, "ts", 3, "requests"), ["user_id", "event_type"], "ts", 86_400, "1 hour")
+    done = feeds.run_once(out, feeds.sink_folder(spark, "ttl"))
+    return done.select("user_id", "event_type", F.unix_micros("answered_at").alias("answered_us"))
+
+
+@query("q_stream_sustained", """
+WITH h AS (SELECT user_id, ts, value, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE value > 10),
+g AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > INTERVAL 1 DAY) OVER (PARTITION BY user_id ORDER BY ts) AS spell FROM h),
+s AS (SELECT user_id, min(ts) AS a, max(ts) AS b, min(value) AS min_value, count(*) AS n FROM g GROUP BY user_id, spell)
+SELECT user_id, epoch_us(a) AS first_us, epoch_us(b) AS last_us, min_value, n FROM s
+WHERE b >= a + INTERVAL 2 DAY AND b + INTERVAL 1 DAY <= (SELECT epoch_ms(epoch_ms(max(ts))) FROM events) - INTERVAL 1 DAY""")
+def stream_sustained(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    out = feeds.sustained_runs(feeds.replayed(e, "ts", 3, "readings"), "user_id", "ts", "value", 10.0)
+    done = feeds.run_once(out, feeds.sink_folder(spark, "sustained"))
+    return done.select("user_id", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "min_value", "n")
 
 
 @query("q_stream_ingest", """SELECT event_type AS domain, count(*) AS files FROM (SELECT DISTINCT event_type, user_id, sha256(props) AS h FROM events) GROUP BY 1""")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from fieldlake.operators import farm
@@ -72,6 +74,92 @@ def fresh_answers(requests: DataFrame, keys: list[str], ts: str, ttl_seconds: in
     return rows.dropDuplicatesWithinWatermark([*keys, "period"])
 
 
+def sustained_runs(readings: DataFrame, key: str, ts: str, value: str, threshold: float, least: str = "2 days", gap: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Spells of at least `least` in which a key's readings above the threshold follow each other within `gap`.
+
+    Session windows: a spell has any length, is closed by a gap without high readings, and is given
+    out once the watermark has passed its end; later rows are dropped. A hot key costs a state row per spell.
+    """
+    # a reading with no gap is in no session, and unlike a filter this leaves it to move the watermark
+    gaps = F.when(F.col(value) > threshold, F.lit(gap)).otherwise(F.lit("0 seconds"))
+    spells = (
+        readings.withWatermark(ts, late)
+        .groupBy(key, F.session_window(ts, gaps).alias("w"))
+        .agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.min(value).alias("min_value"), F.count(F.lit(1)).alias("n")))
+    return spells.where(F.col("last") >= F.col("first") + F.expr(f"interval {least}")).select(key, "first", "last", "min_value", "n")
+
+
+def first_answers(requests: DataFrame, keys: list[str], ts: str, ttl_seconds: int = PRICE_TTL, late: str = "600 seconds") -> DataFrame:
+    """(keys, answered_at): requests that have to be answered anew, because the key's last answer is `ttl_seconds` old.
+
+    A key's state is its last answer and the requests that wait for the watermark; a timer wakes it
+    when the watermark passes the next one. So the order in which requests arrive within `late`
+    changes nothing; later ones are dropped. One waiting time stands for all its repeats.
+    """
+    types = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    out = ", ".join([*(f"{k} {types[k]}" for k in keys), f"answered_at {types[ts]}"])
+
+    def answer(key, frames, state):
+        last, waiting = state.get if state.exists else (None, [])
+        waiting = sorted({*waiting, *(int(t.value // 1000) for f in frames for t in f[ts] if t is not pd.NaT)})
+        now = state.getCurrentWatermarkMs() * 1000
+        answered, left = [], []
+        for t in waiting:
+            if t > now:
+                left.append(t)
+            elif last is None or t >= last + ttl_seconds * 1_000_000:
+                last = t
+                answered.append(t)
+        if not left and last is not None and now >= last + ttl_seconds * 1_000_000:
+            state.remove()  # the next request is answered anyway
+        else:
+            state.update((last, left))
+            wake = min(left) if left else last + ttl_seconds * 1_000_000
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if answered:
+            yield pd.DataFrame({**{k: [v] * len(answered) for k, v in zip(keys, key, strict=True)}, "answered_at": pd.to_datetime(answered, unit="us")})
+
+    rows = requests.withWatermark(ts, late).select(*keys, ts)
+    return rows.groupBy(*keys).applyInPandasWithState(answer, out, "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def upsert_fields(updates: DataFrame, key: str, ts: str, tie: str, fields: list[str], state: str, progress: str) -> None:
+    """Merge a stream of updates field by field into the table at `state`, see `read_fields`.
+
+    The table holds every field's newest given value with its time, so updates may come in any order.
+    A batch writes its own version from the one before, so a replayed batch writes the same again.
+    """
+    def stamped(rows: DataFrame) -> DataFrame:
+        return rows.select(key, *[F.when(F.col(f).isNotNull(), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(f).alias("value"))).alias(f) for f in fields])
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fresh = stamped(batch)
+        if batch_id:
+            fresh = fresh.unionByName(batch.sparkSession.read.parquet(f"{state}/version={batch_id - 1:012d}"))
+        # stamps are compared field by field, so the newest struct is the newest value
+        fresh.groupBy(key).agg(*[F.max(f).alias(f) for f in fields]).write.mode("overwrite").parquet(f"{state}/version={batch_id:012d}")
+
+    run_batches(updates, progress, handle)
+
+
+def read_fields(spark: SparkSession, state: str, key: str, fields: list[str]) -> DataFrame:
+    """The last version of an `upsert_fields` table: one row per key."""
+    rows = spark.read.option("basePath", state).option("dataSource.partitionColumnTypeInference.enabled", "false").parquet(state)
+    last = rows.select(F.max("version")).scalar()
+    return rows.where(F.col("version") == last).select(key, *[F.col(f"{f}.value").alias(f) for f in fields])
+
+
+def replayed(rows: DataFrame, ts: str, files: int, label: str) -> DataFrame:
+    """`rows` as a stream of several batches in time order: written as folders, one per batch."""
+    spark = rows.sparkSession
+    base = sink_folder(spark, label)
+    cuts = rows.select(F.percentile_approx(ts, [k / files for k in range(1, files)])).first()[0] if files > 1 else []
+    number = sum((F.when(F.col(ts) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(files):  # one write per file keeps their order in time
+        rows.where(F.coalesce(number, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
 def run_once(df: DataFrame, sink: str, schema: StructType | None = None) -> DataFrame:
     """Process everything available into Parquet at `sink` and return what was written."""
     spark = df.sparkSession
