@@ -108,6 +108,35 @@ def histogram(records: DataFrame, columns: list[str], bins: list[int] | None = N
     return f.groupBy("field").agg(*hits).unpivot(["field"], labels, "bin", "n")
 
 
+#: Accuracy of profiles: 2^HLL_BITS registers, KLL_SIZE items a level.
+HLL_BITS, KLL_SIZE = 12, 200
+
+
+def profile_parts(records: DataFrame, column: str, *by: str) -> DataFrame:
+    """Mergeable profile of a text column per part: rows, a sketch of its values and one of its lengths.
+
+    A part's row has a bounded size whatever its number of records, so parts (a day, a source) are
+    kept and merged later instead of being read again. Nulls count as rows only.
+    """
+    return records.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(column, HLL_BITS).alias("values"),
+        F.kll_sketch_agg_bigint(F.length(column).cast("long"), KLL_SIZE).alias("lengths"))
+
+
+def merge_profiles(parts: DataFrame, *by: str) -> DataFrame:
+    """Profiles of the unions of parts, per `by` or of everything."""
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.hll_union_agg("values").alias("values"), F.kll_merge_agg_bigint("lengths").alias("lengths"))
+
+
+def profile_estimates(profiles: DataFrame, ranks: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """n, distinct values and length quantiles (p50, p90, ...) that profiles estimate; quantiles are null without lengths."""
+    kept = [c for c in profiles.columns if c not in ("values", "lengths", "n")]
+    some = F.kll_sketch_get_n_bigint("lengths") > 0
+    return profiles.select(
+        *kept, "n", F.hll_sketch_estimate("values").alias("distinct"),
+        *[F.when(some, F.kll_sketch_get_quantile_bigint("lengths", F.lit(r))).alias(f"p{round(r * 100)}") for r in ranks])
+
+
 def top_values(records: DataFrame, column: str, n: int, default: str = "(none)") -> DataFrame:
     """The n most frequent values, ties by value."""
     return value_counts(records, column, default).orderBy(F.desc("n"), "value").limit(n)

@@ -127,7 +127,8 @@ def search_catalog(
 ) -> DataFrame:
     """Items whose blob contains any query token of `min_token`+ characters.
 
-    A query without a match gets the first `fallback` items; each query keeps `cap` items.
+    An empty query matches every item. A query without a match gets the first `fallback` items;
+    each query keeps `cap` items.
     Returns (qid, item_id, matched, rank).
     """
     tokens = queries.select("qid", F.explode(F.array_distinct(
@@ -138,12 +139,14 @@ def search_catalog(
     matched = tokens.join(hits.select("token", item_id), "token").select("qid", item_id).distinct()
     first = F.row_number().over(_by("qid", item_id))
     ranked = matched.withColumn("rank", first).filter(F.col("rank") <= cap).withColumn("matched", F.lit(True))
-    # The fallback list has at most `fallback` rows, so it travels as one array.
-    heads = items.select(item_id).orderBy(item_id).limit(fallback)
+    # The first items are at most `cap` or `fallback` rows, so they travel as one array.
+    heads = items.select(item_id).orderBy(item_id).limit(max(cap, fallback))
     listed = heads.agg(F.sort_array(F.collect_list(item_id)).alias("ids"))
-    empty = queries.select("qid").join(matched, "qid", "left_anti")
-    defaults = empty.select("qid", F.posexplode(listed.scalar()).alias("p", item_id)).select(
-        "qid", item_id, (F.col("p") + 1).alias("rank"), F.lit(False).alias("matched"))
+    blank = F.coalesce("query", F.lit("")) == ""
+    none = queries.join(matched, "qid", "left_anti").select("qid", blank.alias("matched"))
+    ids = F.slice(listed.scalar(), F.lit(1), F.when(F.col("matched"), cap).otherwise(fallback))
+    defaults = none.select("qid", "matched", F.posexplode(ids).alias("p", item_id)).select(
+        "qid", item_id, (F.col("p") + 1).alias("rank"), "matched")
     return ranked.select("qid", item_id, "matched", "rank").unionByName(defaults)
 
 

@@ -157,9 +157,13 @@ def first_per_id(records: DataFrame, order_col: str) -> DataFrame:
 def rollup(records: DataFrame) -> DataFrame:
     """Counts per category, language, pack and split in one pass."""
     dims = ["category", "language", "pack", "split"]
-    grouped = records.groupingSets([[d] for d in dims], *dims).agg(F.count(F.lit(1)).alias("n"))
-    names = F.coalesce(*[F.when(F.col(d).isNotNull(), d) for d in dims])
-    return grouped.select(names.alias("dimension"), F.coalesce(*dims).alias("value"), "n")
+    grouped = records.groupingSets([[d] for d in dims], *dims).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    # a bit of the grouping id is 0 for the dimension that a row counts, so a null value is still counted as its own
+    level = {d: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - i)) for i, d in enumerate(dims)}
+    of = {d: F.col("g") == g for d, g in level.items()}
+    return grouped.select(
+        F.coalesce(*[F.when(hit, d) for d, hit in of.items()]).alias("dimension"),
+        F.coalesce(*[F.when(hit, F.col(d)) for d, hit in of.items()]).alias("value"), "n")
 
 
 def targets(records: DataFrame, train_min: int = 10_000, val_min: int = 1_000) -> DataFrame:

@@ -12,6 +12,7 @@ from fieldlake.plans import sql as S
 from fieldlake.plans.sql import query
 from fieldlake.session import table
 from fieldlake.sources import lake
+from fieldlake.sources.store import materialize
 
 # --- records from conversations: a user turn and the assistant turn after it -----------------
 
@@ -213,6 +214,30 @@ def length_stats(spark, sf):
     return coverage.length_stats(table(spark, sf, "documents"), ["text", "source"])
 
 
+@query("q_profile_merge", """
+WITH d AS (SELECT source, text FROM documents UNION ALL SELECT NULL, text FROM documents)
+SELECT coalesce(source, '(all)') AS scope, count(*) AS n, count(DISTINCT text) AS distinct_texts, TRUE AS distinct_near, TRUE AS p50_near, TRUE AS p90_near FROM d GROUP BY source""")
+def profile_merge(spark, sf):
+    """Sketches of every source, merged for the whole, against exact counts: distinct within 6 %, quantiles within 4 % of ranks."""
+    d = table(spark, sf, "documents").select(F.coalesce("source", F.lit("(none)")).alias("scope"), "text")
+    parts = materialize(coverage.profile_parts(d, "text", "scope"), "profile-parts")
+    every = coverage.merge_profiles(parts).select(F.lit("(all)").alias("scope"), "n", "values", "lengths")
+    found = materialize(coverage.profile_estimates(parts.unionByName(every)), "profile-estimates")
+    both = d.unionByName(d.withColumn("scope", F.lit("(all)")))
+    exact = both.groupBy("scope").agg(F.count_distinct("text").alias("distinct_texts"))
+    lens = both.groupBy("scope", F.length("text").alias("len")).agg(F.count(F.lit(1)).alias("k"))
+
+    def rank_near(p: str, rank: float):
+        # some rank of the estimate's ties must be near the asked one
+        low = F.sum(F.when(F.col("len") < F.col(p), F.col("k")).otherwise(0)) / F.sum("k")
+        high = F.sum(F.when(F.col("len") <= F.col(p), F.col("k")).otherwise(0)) / F.sum("k")
+        return ((low <= rank + 0.04) & (high >= rank - 0.04)).alias(f"{p}_near")
+
+    ranks = lens.where("len is not null").join(found, "scope").groupBy("scope").agg(rank_near("p50", 0.5), rank_near("p90", 0.9))
+    return found.join(exact, "scope").join(ranks, "scope").select(
+        "scope", "n", "distinct_texts", (F.abs(F.col("distinct") - F.col("distinct_texts")) <= F.greatest(F.lit(1.0), 0.06 * F.col("distinct_texts"))).alias("distinct_near"), "p50_near", "p90_near")
+
+
 BINS = S.values("bins", ["lo", "hi", "bin"], [
     (a, b, f"{a}-{b - 1}") for a, b in zip(coverage.LENGTH_BINS, coverage.LENGTH_BINS[1:])] + [(10_000, 10**12, "10000+")])
 

@@ -348,13 +348,14 @@ WITH t AS (SELECT DISTINCT c_custkey AS qid, unnest(['needs', lower(c_mktsegment
 i AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' ' || p_brand) AS blob FROM part),
 m AS (SELECT DISTINCT qid, p_partkey FROM (SELECT DISTINCT tok FROM t WHERE length(tok) > 3) d JOIN i ON contains(blob, d.tok) JOIN t USING (tok)),
 r AS (SELECT qid, p_partkey, row_number() OVER (PARTITION BY qid ORDER BY p_partkey) AS rank, TRUE AS matched FROM m),
-f AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rank FROM part ORDER BY p_partkey LIMIT 5)
+f AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rank FROM part ORDER BY p_partkey LIMIT 8)
 SELECT qid, p_partkey, CAST(rank AS INTEGER) AS rank, matched FROM r WHERE rank <= 8
-UNION ALL SELECT c_custkey, p_partkey, CAST(rank AS INTEGER), FALSE FROM customer CROSS JOIN f WHERE c_custkey NOT IN (SELECT qid FROM m)""")
+UNION ALL SELECT c_custkey, p_partkey, CAST(rank AS INTEGER), c_nationkey = 0 FROM customer CROSS JOIN f
+  WHERE c_custkey NOT IN (SELECT qid FROM m) AND rank <= CASE WHEN c_nationkey = 0 THEN 8 ELSE 5 END""")
 def scheme_search(spark, sf):
     c = table(spark, sf, "customer")
     word = F.when(F.col("c_nationkey") > 12, "ring").otherwise("gear")
-    text = F.when(F.col("c_nationkey") > 3, F.concat(F.lit("needs "), "c_mktsegment", F.lit(" "), word)).otherwise("a an the")
+    text = F.when(F.col("c_nationkey") > 3, F.concat(F.lit("needs "), "c_mktsegment", F.lit(" "), word)).when(F.col("c_nationkey") > 0, "a an the").otherwise("")
     q = c.select(F.col("c_custkey").alias("qid"), text.alias("query"))
     blob = F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_brand")
     return queryplan.search_catalog(q, table(spark, sf, "part"), "p_partkey", blob)

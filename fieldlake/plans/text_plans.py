@@ -11,7 +11,9 @@ from fieldlake.operators import coverage, dedup, quality
 from fieldlake.plans import sql as S
 from fieldlake.plans.sql import query
 from fieldlake.session import table
+from fieldlake.sources import lake
 from fieldlake.sources.store import spread
+from fieldlake.streaming.feeds import sink_folder
 
 C_DOC = S.clean("text")
 
@@ -91,18 +93,43 @@ def quarantine(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("record_estimate").alias("records"), F.sum("bytes").alias("bytes"))
 
 
+ONE_SPACE = "regexp_replace(html, '\\s+', ' ', 'g')"
+
+
 @query("q_clean_stage", f"""
-WITH f AS (SELECT page_id, CASE WHEN contains(url, '?') THEN '{{"records": [' ELSE
-  CAST(json_object('records', [json_object('html', regexp_replace(html, '\\s+', ' ', 'g'))]) AS VARCHAR) END AS p FROM pages)
-SELECT CASE WHEN json_valid(p) THEN 'cleaned' ELSE 'skipped_invalid' END AS action, count(*) AS files FROM f GROUP BY 1""")
+WITH f AS (SELECT page_id, html, CASE WHEN contains(url, '?') THEN '{{"records": [' ELSE
+  CAST(json_object('records', [json_object('html', {ONE_SPACE})]) AS VARCHAR) END AS p FROM pages)
+SELECT page_id, CASE WHEN json_valid(p) THEN 'cleaned' ELSE 'skipped_invalid' END AS action,
+  CASE WHEN json_valid(p) THEN sha256({S.clean(ONE_SPACE, entities=True)}) END AS cleaned_hash FROM f""")
 def clean_stage(spark, sf):
     pages = spread(table(spark, sf, "pages"))
     body = F.to_json(F.struct(F.array(F.struct(F.regexp_replace("html", r"\s+", " ").alias("html"))).alias("records")))
     files = pages.select(
-        F.col("url").alias("path"), F.lit("market").alias("domain"),
+        "page_id", F.col("url").alias("path"), F.lit("market").alias("domain"),
         F.when(F.contains("url", F.lit("?")), '{"records": [').otherwise(body).alias("payload"))
     staged = quality.clean_stage(quality.validate(files))
-    return staged.groupBy("action").agg(F.count(F.lit(1)).alias("files"))
+    return staged.select("page_id", "action", F.sha2(F.get_json_object("cleaned", "$.records[0].html"), 256).alias("cleaned_hash"))
+
+
+LANG_FOLDER = "CASE lang WHEN 'en' THEN 'crop' WHEN 'fr' THEN 'soil' WHEN 'de' THEN 'market' ELSE 'other' END"
+
+
+@query("q_lake_flow", f"""
+WITH f AS (SELECT doc_id, {LANG_FOLDER} AS domain, {C_DOC} AS t, source IS NOT DISTINCT FROM 'src13' AS broken FROM documents),
+v AS (SELECT *, NOT broken AND coalesce(t, '') <> '' AS ok FROM f WHERE domain <> 'other'),
+k AS (SELECT domain, lower(t) AS t, min(doc_id) AS doc_id, count(*) AS copies FROM v WHERE ok GROUP BY ALL)
+SELECT domain, count(*) AS scanned, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid,
+  (SELECT count(*) FROM k WHERE k.domain = v.domain) AS kept, (SELECT CAST(sum(copies - 1) AS BIGINT) FROM k WHERE k.domain = v.domain) AS exact_removed,
+  (SELECT CAST(sum(doc_id) AS BIGINT) FROM k WHERE k.domain = v.domain) AS kept_ids FROM v GROUP BY domain""")
+def lake_flow(spark, sf):
+    """Documents as line files in domain folders, one source's lines broken: scan three domains, validate, clean, de-duplicate."""
+    d = table(spark, sf, "documents")
+    folder = F.when(F.col("lang") == "en", "crop").when(F.col("lang") == "fr", "soil").when(F.col("lang") == "de", "market").otherwise("other")
+    line = F.when(F.col("source") == "src13", '{"doc_id": ').otherwise(F.to_json(F.struct("doc_id", "text")))
+    root = sink_folder(spark, "lake")
+    lake.write_domain_lines(d.select(folder.alias("domain"), line.alias("line")), root)
+    counters, kept = lake.lake_flow(spark, root, "doc_id", "text", domains=["crop", "soil", "market"])
+    return counters.join(kept.groupBy("domain").agg(F.sum("doc_id").alias("kept_ids")), "domain", "left")
 
 
 @query("q_record_constraints", """

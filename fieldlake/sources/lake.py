@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
+from fieldlake.functions import text as T
 from fieldlake.functions import vocab
 from fieldlake.operators.coverage import coverage_stats
 from fieldlake.operators.dedup import dedup_near
 from fieldlake.operators.standardize import explode_lists
 from fieldlake.sources.knowledge import FILES, struct_type
+from fieldlake.sources.store import materialize
 
 RAW_SUFFIXES = [".json", ".jsonl", ".txt", ".csv"]
 PLACEHOLDER_KEYS = ("YOUR_API_KEY", "demo", "changeme")
@@ -82,6 +84,39 @@ def read_records(spark: SparkSession, path: str, schema: str | ty.StructType) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def write_domain_lines(rows: DataFrame, root: str, domain: str = "domain", line: str = "line") -> None:
+    """Lines of text as files of root/raw/domain=<domain>/."""
+    rows.select(F.col(line).alias("value"), F.col(domain).alias("domain")).write.mode("append").partitionBy("domain").text(f"{root}/raw")
+
+
+def read_domain_records(spark: SparkSession, root: str, schema: str, domains: list[str] | None = None) -> DataFrame:
+    """JSON lines below root/raw/domain=<domain>/ with `domain` and `_corrupt`, the text of a line that is no record.
+
+    Folders of other domains are not listed and other columns not parsed out of the lines.
+    """
+    reader = spark.read.schema(f"{schema}, _corrupt string, domain string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    rows = reader.json(f"{root}/raw")
+    return rows.filter(F.col("domain").isin(domains)) if domains else rows
+
+
+def lake_flow(spark: SparkSession, root: str, id_col: str, text_col: str, id_type: str = "long", domains: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(counters per domain, kept records) of scan, validation, cleaning and exact de-duplication of a lake's text records.
+
+    A line is invalid if it is no JSON object, or its text is blank after cleaning. Of records of a
+    domain with the same cleaned text, case ignored, the one with the smallest id is kept.
+    """
+    rows = read_domain_records(spark, root, f"{id_col} {id_type}, {text_col} string", domains)
+    cleaned = materialize(rows.withColumn("cleaned", T.clean_text(F.col(text_col))).select(
+        "domain", id_col, "cleaned", (F.col("_corrupt").isNull() & (F.coalesce("cleaned", F.lit("")) != "")).alias("ok")), "lake-cleaned")
+    first = cleaned.filter("ok").groupBy("domain", F.sha2(F.lower("cleaned"), 256).alias("text_hash")).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
+    first = materialize(first, "lake-kept")
+    counts = cleaned.groupBy("domain").agg(F.count(F.lit(1)).alias("scanned"), F.count_if("ok").alias("valid"))
+    kept = first.groupBy("domain").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.col("copies") - 1).alias("exact_removed"))
+    counters = counts.join(kept, "domain", "left").select(
+        "domain", "scanned", "valid", (F.col("scanned") - F.col("valid")).alias("invalid"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("exact_removed", F.lit(0)).alias("exact_removed"))
+    return counters, first.select("domain", id_col, "text_hash")
+
+
 def tree_summary(files: DataFrame, per_domain: int = 20, order_col: str = "path") -> DataFrame:
     """The first files of every domain with the domain's full count."""
     totals = files.groupBy("domain").agg(F.count(F.lit(1)).alias("domain_files"))
