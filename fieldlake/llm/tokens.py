@@ -3,7 +3,7 @@
 A document's ids are those of its byte-level BPE. No merge crosses the start of a " word", so
 ids of a text are the joined ids of its space-separated chunks; chunks are found by a 64-bit
 hash, encoded once per worker and kept in a bounded cache. Texts where a space is followed by white space (or ends the
-text) are encoded whole, because there the split is not the tokenizer's own.
+text), or that hold an added token, are encoded whole, because there the split is not the tokenizer's own.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from fieldlake.llm.textkernel import slices, span_hashes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks a worker keeps (about 150 bytes each), and the longest chunk it keeps.
-CACHE, CHUNK = 800_000, 40
+CACHE, CHUNK = 300_000, 40
 #: Characters that are split and encoded in one go, and new chunks in one call of the tokenizer.
-SLICE, CALL = 4_000_000, 20_000
+SLICE, CALL = 1_000_000, 20_000
 
 _ODD = re.compile(r" \s| \Z")
 
@@ -42,7 +42,9 @@ class Encoder:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        # an added token in a text is one id, so its text is not split at spaces
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD.pattern, *added]))
         words = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(words.values()) + 1, np.int64)
         self.bytes_of[list(words.values())] = [len(w) for w in words]  # a byte-level token has a character per byte
@@ -54,6 +56,12 @@ class Encoder:
             cls._own[vocabulary] = cls(vocabulary)
         return cls._own[vocabulary]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Free the chunks at the end of a task: its worker goes on to other stages."""
+        for encoder in cls._own.values():
+            encoder.cache = {}
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -73,7 +81,7 @@ class Encoder:
         odd, plain, heads, raw = [], [], [], []
         for i, t in enumerate(texts):
             t = t.encode("utf-8", "replace").decode()  # a lone surrogate has no bytes
-            if _ODD.search(t):
+            if self.odd.search(t):
                 odd.append((i, t))
             elif t:
                 plain.append(i)
@@ -128,6 +136,7 @@ def lengths(docs: DataFrame, by: str | None = "source", text: str = "text", voca
     def count(batches):
         for b in batches:
             yield pd.DataFrame({"part": b["part"], "n_tokens": [len(x) // 4 for x in encoded(b["text"], vocabulary)]})
+        Encoder.forget()
 
     return rows.mapInPandas(count, "part string, n_tokens long")
 
