@@ -1,12 +1,14 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A document is the set of its five-word shingles. Each element's arrivals are a Poisson process;
-every arrival falls on a register, and a register keeps the element that arrived first. All
-elements have weight 1, however often they occur: so the share of equal registers of two documents
-estimates the plain Jaccard similarity that links are decided by, also where one of them repeats
-passages (weights by count would estimate less there). An element stops as soon as its next arrival
-is later than the latest register. Bands of registers give candidates; candidates are verified on
-the whole shingle sets: linked if their plain Jaccard similarity is at least the threshold.
+A document is the weighted set of its five-word shingles: a shingle that occurs more often weighs
+more, up to HEAVIEST. Each element's arrivals are a Poisson process with its weight as rate; every
+arrival falls on a register, and a register keeps the element that arrived first, so the share of
+equal registers of two documents estimates their probability Jaccard similarity. An element stops as
+soon as its next arrival is later than the latest register. Bands of registers give candidates;
+candidates are verified on the whole shingle sets: linked if their plain Jaccard similarity is at
+least the threshold. With weights from 1 to W the probability Jaccard is at least the plain one
+divided by W whatever the counts (no ratio of weights in its sums exceeds W), so bands and the
+estimate's bound are sized for SIMILARITY / HEAVIEST.
 
 Exact copies share one signature row. In a band's bucket every member is first compared with the
 bucket's smallest id, its leader; only buckets that still hold several components are compared
@@ -28,17 +30,19 @@ from fieldlake.llm.graph import components
 from fieldlake.llm.textkernel import mix, slices, windows, words
 from fieldlake.sources.store import materialize
 
-#: Words of a shingle; similarity of near copies.
-SHINGLE, SIMILARITY = 5, 0.8
-#: Bands and registers of a band: two texts of similarity 0.8 share no band with a chance of 1.4e-7,
-#: of 0.65 with 3e-3.
-BANDS, ROWS = 30, 4
-#: Least share of equal registers of candidates that are verified; at a true similarity of 0.8 fewer
-#: equal registers have a chance of 2e-10.
-ESTIMATE = 0.55
+#: Words of a shingle; similarity of near copies; weight that a shingle's count cannot lift it above.
+SHINGLE, SIMILARITY, HEAVIEST = 5, 0.8, 1.25
+#: Bands and registers of a band. Two texts of similarity 0.8 with the same counts share no band with a
+#: chance of 6e-10; with counts that differ as much as can be (probability Jaccard 0.64) of 7e-4.
+BANDS, ROWS = 40, 4
+#: Least share of equal registers of candidates that are verified: five standard deviations (of 160
+#: registers) below SIMILARITY / HEAVIEST, so at worst 3e-7 of the links' candidates have fewer.
+ESTIMATE = 0.45
 #: Buckets up to this size are paired by a join, larger ones in blocks of about BLOCK; shingles of
 #: one matrix product.
 SMALL, BLOCK, COLUMNS = 16, 1_000, 8_192
+#: Bytes of shingle sets of a block, about; characters of texts that are worked on at once.
+BLOCK_BYTES, SLICE = 8_000_000, 250_000
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +63,8 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 def signatures(texts: list[str], registers: int = BANDS * ROWS, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(first arrivals' element hashes [texts, registers] as uint32, whether the text has shingles)."""
-    text, value, _ = shingles(texts, width)
+    text, value, count = shingles(texts, width)
+    rate = HEAVIEST - (HEAVIEST - 1) / count
     first = np.full(len(texts) * registers, np.inf)
     element = np.zeros(len(texts) * registers, np.uint32)
     time = np.zeros(len(text))
@@ -68,7 +73,7 @@ def signatures(texts: list[str], registers: int = BANDS * ROWS, width: int = SHI
     while len(alive):
         draws = np.arange(done, done + step, dtype=np.uint64) * np.uint64(2)
         seed = value[alive][:, None] + mix(draws)[None, :]
-        arrival = time[alive][:, None] + np.cumsum(-np.log(_uniform(seed)), 1)
+        arrival = time[alive][:, None] + np.cumsum(-np.log(_uniform(seed)), 1) / rate[alive][:, None]
         register = (mix(seed + np.uint64(1)) % np.uint64(registers)).astype(np.int64)
         slot = (text[alive][:, None] * registers + register).ravel()
         when = arrival.ravel()
@@ -106,7 +111,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def build(batches):
         for b in batches:
             at = 0
-            for part in slices(b["text"], 2_000_000):
+            for part in slices(b["text"], SLICE):
                 sig, has = signatures(part)
                 keys = band_keys(sig)
                 yield pd.DataFrame({
@@ -148,7 +153,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
     def sets(batches):
         for b in batches:
             at = 0
-            for part in slices(b["text"], 2_000_000):
+            for part in slices(b["text"], SLICE):
                 text, value, _ = shingles(part)
                 cut = np.searchsorted(text, np.arange(len(part) + 1)).tolist()
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(part)].to_numpy(),
@@ -197,12 +202,14 @@ def _crowd_links(members: DataFrame, docs: DataFrame, similarity: float) -> Data
     """Verified links (u, v) inside large buckets that still hold several components.
 
     members: (leader, doc_id, component). Texts of one bucket share its leader; a leader's members
-    are dealt to blocks by hash, every two blocks meet in a task of their own, and a task returns
-    for each member at most one link, to a text of the same component of its links.
+    are dealt by hash to blocks of bounded members and bytes, every two blocks meet in a task of
+    their own, and a task returns for each member at most one link, to a text of the same component
+    of its links.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = _shingle_sets(docs, members.select("doc_id").distinct(), "crowd-sets")
-    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    sizes = members.join(sets.select("doc_id", F.length("s").alias("bytes")), "doc_id").groupBy("leader").agg(F.ceil(size).cast("int").alias("blocks"))
     dealt = (
         members.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
