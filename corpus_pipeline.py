@@ -18,10 +18,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of copies and near copies stays."""
+    """The document with the smallest id of each group of copies and near copies stays.
+
+    Rows that repeat an id are one document: of them the least row stays. Rows without an id all stay.
+    """
     found = minhash.near_duplicates(docs)
     gone = materialize(found.where("not kept").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
