@@ -322,8 +322,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     found = _neighbours(parsed).mapInPandas(compare, "row long, found array<int>")
     shared = materialize(found.groupBy("row").agg(F.flatten(F.collect_list("found")).alias("shared")), "shared-lines")  # two at most
-    judged = parsed.select("row", "page_id", "url", "texts", "places", "fixed").join(shared, "row", "left")
+    lines_of = parsed.select("row", "page_id", "url", "texts", "places", "fixed")
+    open_lines = F.exists("fixed", lambda x: ~x)
+    # fixed lines stay whatever is shared, so pages with no others are not shuffled for the decisions
+    judged = lines_of.where(open_lines).join(shared, "row", "left")
     gone = F.coalesce("shared", F.array().cast("array<int>"))
     stays = F.filter(F.arrays_zip("texts", "places", "fixed"), lambda x: x["fixed"] | ~F.array_contains(gone, x["places"]))
-    text = F.array_join(F.transform(stays, lambda x: x["texts"]), " ")
-    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    judged = judged.select("page_id", "url", F.transform(stays, lambda x: x["texts"]).alias("texts"))
+    every = judged.unionByName(lines_of.where(~open_lines).select("page_id", "url", "texts"))
+    return every.select("page_id", "url", F.array_join("texts", " ").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
