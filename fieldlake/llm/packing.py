@@ -2,8 +2,8 @@
 
 Documents become pieces of at most `size` tokens. The exact histogram of piece lengths (at most
 `size` counts) is fitted with patterns of up to three lengths that fill a sequence: non-negative
-least squares gives each pattern's repeat count, counts are rounded within what the histogram
-holds, and the rest is packed best-fit decreasing over the histogram. All of that works on counts,
+least squares gives each pattern's repeat count, a share of the counts is rounded within what the
+histogram holds, and the rest is packed best-fit decreasing over the histogram. All of that works on counts,
 so the driver's work and memory depend on `size`, not on the documents. The resulting plan (runs
 of equal sequences) is joined back by the rank of each piece within its length.
 """
@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlake.llm.tokens import VOCABULARY, encoded
+from fieldlake.llm.tokens import VOCABULARY, Encoder, encoded
 from fieldlake.sources.store import materialize
 
 #: Splits of the remainder that are tried for each first length when patterns are enumerated.
 SPLITS = 24
+#: Shares of the fitted repeats that are tried; 0 is best-fit decreasing alone.
+REPEATS = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 #: Pieces that one bucket of ranks should hold.
 BUCKET_ROWS = 500_000
 
@@ -50,6 +52,7 @@ def pieces(docs: DataFrame, size: int = 2048, end_id: int | None = 0, doc_id: st
                 out += [(i, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype(
                 {"doc_id": "Int64" if whole_number else object})
+        Encoder.forget()
 
     whole_number = dict(rows.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -95,11 +98,41 @@ def fit(pats: np.ndarray, hist: np.ndarray, steps: int = 400) -> np.ndarray:
     return x
 
 
+def fitted(hist: np.ndarray) -> list[tuple[list[int], float]]:
+    """(slots, repeats) of the patterns that fit `hist`, most repeats first."""
+    left = hist.astype(np.int64)
+    size = len(hist) - 1
+    # few pieces of a length ask for few patterns: counts below one cannot be rounded
+    lengths = max(1, int((left > 0).sum()))
+    pats = patterns(size, left > 0, int(np.clip(left.sum() // (8 * lengths), 1, SPLITS)))
+    if not len(pats):
+        return []
+    x = fit(pats, left.astype(float))
+    for least in (0.25, 0.5):  # the weight of patterns that would round to nothing goes to the others
+        pats = pats[x >= least]
+        x = fit(pats, left.astype(float)) if len(pats) else np.zeros(0)
+    return [([v for v in pats[k].tolist() if v], float(x[k])) for k in np.argsort(-x, kind="stable").tolist()]
+
+
 def plan(hist: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, number, first sequence, offset) that place every piece of `hist`.
 
-    hist[l] is the number of pieces of length l; sequences are numbered from 0 without gaps.
+    hist[l] is the number of pieces of length l; sequences are numbered from 0 without gaps. Every
+    share in REPEATS of the fitted repeats is tried with the rest packed best-fit decreasing, and the
+    plan with the fewest sequences is taken (of equal ones that with more patterns): where few pieces
+    of a length make rounding costly, fewer pieces are bound to patterns.
     """
+    found = fitted(hist)
+    best: tuple[int, list] | None = None
+    for share in REPEATS if found else (0.0,):
+        seq, runs = placed(hist, found, share)
+        if best is None or seq < best[0]:
+            best = seq, runs
+    return best[1]
+
+
+def placed(hist: np.ndarray, found: list[tuple[list[int], float]], share: float) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """(number of sequences, runs): patterns at a share of their repeats, then best fit for the rest."""
     size = len(hist) - 1
     left = hist.astype(np.int64).copy()
     used = np.zeros_like(left)
@@ -111,24 +144,15 @@ def plan(hist: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         used[length] += n
         left[length] -= n
 
-    # few pieces of a length ask for few patterns: counts below one cannot be rounded
-    lengths = max(1, int((left > 0).sum()))
-    pats = patterns(size, left > 0, int(np.clip(left.sum() // (8 * lengths), 1, SPLITS)))
-    if len(pats):
-        x = fit(pats, left.astype(float))
-        for least in (0.25, 0.5):  # the weight of patterns that would round to nothing goes to the others
-            pats = pats[x >= least]
-            x = fit(pats, left.astype(float)) if len(pats) else np.zeros(0)
-        for k in np.argsort(-x, kind="stable").tolist():
-            n = round(float(x[k]))
-            slots = [v for v in pats[k].tolist() if v]
-            n = min([n, *(int(left[v]) // slots.count(v) for v in slots)])
-            if n > 0:
-                offset = 0
-                for v in slots:
-                    place(v, n, seq, offset)
-                    offset += v
-                seq += n
+    for slots, repeats in found:
+        n = round(repeats * share)
+        n = min([n, *(int(left[v]) // slots.count(v) for v in slots)])
+        if n > 0:
+            offset = 0
+            for v in slots:
+                place(v, n, seq, offset)
+                offset += v
+            seq += n
     room: dict[int, list[tuple[int, int]]] = {}  # free tokens -> (first sequence, number) of open runs
     keys: list[int] = []
 
@@ -163,7 +187,7 @@ def plan(hist: np.ndarray) -> list[tuple[int, int, int, int, int]]:
             place(length, take, first, size - free)
             put(free - length, first, take)
             put(free, first + take, n - take)
-    return runs
+    return seq, runs
 
 
 def pack(rows: DataFrame, size: int = 2048, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
@@ -172,13 +196,15 @@ def pack(rows: DataFrame, size: int = 2048, length: str = "length", order: tuple
     `rows` should be a written table: it is read twice. The rank of a piece within its length is
     the number of such pieces in earlier buckets (a small table of counts) plus its place in its own
     bucket, so no task holds all pieces of one length. Rows with another length, or none, are an
-    error of the caller and raise. An empty table gives an empty one.
+    error of the caller and raise. An empty table gives an empty one. Other columns stay; columns
+    named sequence_id and offset are replaced.
     """
     spark = rows.sparkSession
     n_rows = rows.count()
     buckets = max(1, -(-n_rows // BUCKET_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy(F.col(length).cast("long").alias("_len"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # the row travels whole in one column, so its own names cannot clash
+    keyed = rows.select(F.struct("*").alias("_row"), F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int").alias("_bucket"), F.col(length).cast("long").alias("_len"))
+    counts = keyed.groupBy("_len", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     hist = np.zeros(size + 1, np.int64)
     for r in counts.groupBy("_len").agg(F.sum("_n").alias("n")).limit(size + 2).collect():  # at most `size` lengths
         if r["_len"] is None or not 1 <= r["_len"] <= size:
@@ -189,10 +215,9 @@ def pack(rows: DataFrame, size: int = 2048, length: str = "length", order: tuple
     shared = spark.sparkContext.broadcast(runs)  # bounded by the patterns of `size`, not by the rows
     earlier = Window.partitionBy("_len").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_len", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    place = Window.partitionBy("_len", "_bucket").orderBy(*order)
+    place = Window.partitionBy("_len", "_bucket").orderBy(*[F.col("_row")[c] for c in order])
     ranked = (
-        keyed.withColumn("_len", F.col(length).cast("long"))
-        .withColumn("_rank", F.row_number().over(place) - 1)
+        keyed.withColumn("_rank", F.row_number().over(place) - 1)
         .join(bases, ["_len", "_bucket"])
         .withColumn("_rank", F.col("_rank") + F.col("_base"))
     )
@@ -207,7 +232,7 @@ def pack(rows: DataFrame, size: int = 2048, length: str = "length", order: tuple
         return pd.DataFrame({"sequence_id": hit[:, 3] + ranks.to_numpy() - hit[:, 1], "offset": hit[:, 4]})
 
     return ranked.withColumn("_seat", seat("_len", "_rank")).select(
-        *[F.col(c) for c in rows.columns], F.col("_seat.sequence_id").alias("sequence_id"), F.col("_seat.offset").alias("offset"))
+        *[F.col("_row")[c].alias(c) for c in rows.columns if c not in ("sequence_id", "offset")], F.col("_seat.sequence_id").alias("sequence_id"), F.col("_seat.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, size: int = 2048, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text",
