@@ -110,10 +110,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def clean_rows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                item_text: str = "text", size: int = SIZE) -> DataFrame:
-    """The rows of `docs`, all columns, in which no window of any item occurs."""
+    """The rows of `docs`, all columns whatever their names, in which no window of any item occurs."""
     hits, _ = occurrences(docs, items, doc_id, text, item_id, item_text, size)
     bad = materialize(hits.select("doc").distinct(), "contaminated")
-    return docs.withColumn("_doc", F.xxhash64(doc_id, text)).join(bad.withColumnRenamed("doc", "_doc"), "_doc", "left_anti").drop("_doc")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("doc"))
+    return rows.join(bad, "doc", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = """

@@ -39,10 +39,11 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     """`captures` with host, verdict (block, allow, none), matched_key, active_from and n_active.
 
     captures needs a url and a fetch date; a null or unreadable url or a null date has verdict none.
-    Repeated captures are judged each. n_active counts the host's keys with an active entry.
+    Repeated captures are judged each. n_active counts the host's keys with an active entry. Other
+    columns stay; columns named as the new ones are replaced. Empty tables give empty ones.
     """
-    rows = captures.withColumn("host", host_of(F.col(url).cast("string")))
-    asked = rows.select("host", F.col(fetched).alias("day")).where("host is not null and day is not null").distinct()
+    rows = captures.select(F.struct("*").alias("row"), host_of(F.col(url).cast("string")).alias("host"), F.col(fetched).alias("day"))
+    asked = rows.select("host", "day").where("host is not null and day is not null").distinct()
     parts = F.split("host", r"\.")
     keys = asked.withColumn("parts", parts).select(
         "host", "day", "parts", F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1)))).alias("i")
@@ -55,9 +56,9 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     )
     active = keys.withColumn("month", F.trunc("day", "month")).join(spans, ["key", "month"]).where("valid_from <= day and day <= ends")
     best = active.groupBy("host", "day").agg(F.max(F.struct("depth", "key", "valid_from", "action")).alias("b"), F.count(F.lit(1)).alias("n_active"))
-    found = best.select("host", F.col("day").alias(fetched), "b", "n_active")
-    return rows.join(found, ["host", fetched], "left").select(
-        *captures.columns, "host", F.coalesce("b.action", F.lit("none")).alias("verdict"), F.col("b.key").alias("matched_key"),
+    added = ("host", "verdict", "matched_key", "active_from", "n_active")
+    return rows.join(best, ["host", "day"], "left").select(
+        *[F.col("row")[c].alias(c) for c in captures.columns if c not in added], "host", F.coalesce("b.action", F.lit("none")).alias("verdict"), F.col("b.key").alias("matched_key"),
         F.col("b.valid_from").alias("active_from"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"))
 
 
