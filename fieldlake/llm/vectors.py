@@ -2,9 +2,9 @@
 
 Unit vectors are at most r = sqrt(2 - 2t) apart when their cosine is at least t. Pivots split the
 vectors into cells; a cell of many vectors is split into blocks by hash. A vector v of cell i
-must also meet cell j > i unless the triangle inequality forbids it: for any u of cell j,
+goes to the blocks of another cell j unless the triangle inequality forbids it: for any u of cell j,
 |u-v| <= r is possible only if v lies within r of the bisector of the two pivots and within
-radius(j) + r of pivot j. Pairs of blocks are compared apart from each other, in double precision
+radius(j) + r of pivot j. Both sides of a pair of cells send only such vectors. Pairs of blocks are compared apart from each other, in double precision
 after a single-precision pass with a safety margin. What leaves a block pair is one count and one
 link per vector, never its list of pairs.
 """
@@ -95,15 +95,18 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> pd
     return pd.DataFrame({"class_id": ids[hit], "links": links[hit].astype(np.int64), "root": ids[_local_roots(len(rows), a, b)[hit]]})
 
 
-def range_links(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
-    """(class_id, links, root) from all pairs of classes with at least `cosine`; a class can have several rows."""
+def exchange(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame | None:
+    """(class_id, weight, emb, x, y, side): every vector at the pairs of blocks x <= y in which it may have links.
+
+    side 1 are vectors of block y, side 0 of block x. None for an empty table.
+    """
     spark = classed.sparkSession
     n = classed.count()
     n_pivots = max(1, min(PIVOTS, -(-n // block)))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     pivots = classed.select("emb").orderBy(F.xxhash64("emb"), "emb").limit(n_pivots).toPandas()["emb"]
     if not len(pivots):
-        return spark.createDataFrame([], f"class_id {dict(classed.dtypes)['class_id']}, links long, root {dict(classed.dtypes)['class_id']}")
+        return None
     width = max(map(len, pivots))
     pivot = spark.sparkContext.broadcast(_matrix(pivots))
 
@@ -140,27 +143,36 @@ def range_links(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFr
             near = d[np.arange(len(b)), cell]
             # distance to the bisector of pivots i and j is (v.pi - v.pj) / |pi - pj|
             meets = (near[:, None] - d) / gaps[cell] <= radius
-            meets &= np.sqrt(np.maximum(2 - 2 * d, 0)) <= reach + SLACK
-            meets &= (np.arange(n_pivots) > cell[:, None]) & (blocks > 0)
+            meets &= (np.sqrt(np.maximum(2 - 2 * d, 0)) <= reach + SLACK) & (blocks > 0)
             salt = pd.util.hash_array(b["class_id"].to_numpy()) % np.maximum(blocks[cell], 1).astype(np.uint64)
             block_of = first[cell] + salt.astype(int)
             out = []
             total = int(first[-1])
             for y in range(total):
                 target = int(np.searchsorted(first, y, side="right") - 1)
-                # y's own vectors go wherever a smaller block may send some; the others only where they can meet y
-                goes = meets[:, target] | ((cell == target) & (block_of < y))
+                goes = np.where(cell == target, block_of < y, meets[:, target] & (cell < target))
                 for x in np.unique(block_of[goes]):
                     rows = goes & (block_of == x)
                     out.append((rows, x, y, 0))
             for y in np.unique(block_of):
                 rows = block_of == y
                 for x in range(y + 1):
-                    out.append((rows, x, y, 1))
+                    source = int(np.searchsorted(first, x, side="right") - 1)
+                    able = rows & ((cell == source) | meets[:, source])
+                    if able.any():
+                        out.append((able, x, y, 1))
             for rows, x, y, side in out:
                 yield b.loc[rows, ["class_id", "weight", "emb"]].assign(x=x, y=int(y), side=side)
 
-    dealt = homes.mapInPandas(deal, f"class_id {kind}, weight long, emb array<double>, x int, y int, side int")
+    return homes.mapInPandas(deal, f"class_id {kind}, weight long, emb array<double>, x int, y int, side int")
+
+
+def range_links(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+    """(class_id, links, root) from all pairs of classes with at least `cosine`; a class can have several rows."""
+    kind = classed.schema["class_id"].dataType.simpleString()
+    dealt = exchange(classed, cosine, block)
+    if dealt is None:
+        return classed.sparkSession.createDataFrame([], f"class_id {kind}, links long, root {kind}")
 
     def meet(key, group):
         left, right = group[group["side"] == 0], group[group["side"] == 1]
