@@ -27,9 +27,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
 
 
 def test_ids_are_the_tokenizers():
@@ -96,7 +94,32 @@ def test_plan_places_every_piece(seed, monkeypatch):
         assert at <= 128
     monkeypatch.setattr(packing, "fit", lambda pats, _: np.zeros(len(pats)))
     plain = max((first + n for _, _, n, first, _ in packing.plan(hist)), default=0)
-    assert len(fill) <= plain * 1.01 + 1  # best-fit decreasing alone
+    assert len(fill) <= plain  # best-fit decreasing alone
+
+
+@pytest.mark.parametrize("n", [200, 1_000, 10_000, 50_000])
+def test_plan_is_no_worse_than_best_fit_decreasing(n):
+    rng = np.random.default_rng(n)
+    for lengths in (rng.integers(1, 2049, n), np.minimum(2048, 1 + rng.lognormal(5.5, 1.2, n)).astype(int)):
+        hist = np.bincount(lengths, minlength=2049)
+        runs = packing.plan(hist)
+        assert np.array_equal(np.bincount([r[0] for r in runs], [r[2] for r in runs], 2049), hist)
+        assert max(first + k for _, _, k, first, _ in runs) <= packing.placed(hist, [], 0.0)[0]
+
+
+def test_clashing_columns(spark):
+    clash = ("_row", "_bucket", "_base", "_len", "_rank", "_seat", "_doc", "doc", "row", "b", "n_active", "host", "day", "sequence_id", "offset")
+    rows = spark.createDataFrame([(1, 0, 5), (2, 0, 9)], "doc_id long, piece int, length long").select("*", *[F.lit(7).alias(c) for c in clash])
+    got = packing.pack(rows, 16).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["_bucket"], r["_row"]) for r in got] == [(1, 7, 7), (2, 7, 7)] and {r["sequence_id"] for r in got} == {0}
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e")], SCHEMA).select("*", *[F.lit(7).alias(c) for c in clash])
+    clean = decontam.clean_rows(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"))
+    assert clean.columns == docs.columns and [tuple(r)[:3] for r in clean.collect()] == [(2, "d e", 7)]
+    captures = docs.select("*", F.lit("http://x.y.com/").alias("url"), F.current_date().alias("fetched"))
+    entries = spark.createDataFrame([], "key string, entry_id long, dated date, action string")
+    judged = urlfilter.judge(captures, entries)
+    assert judged.columns.count("host") == judged.columns.count("n_active") == 1
+    assert {(r["doc_id"], r["b"], r["host"], r["n_active"], r["verdict"]) for r in judged.collect()} == {(1, 7, "x.y.com", 0, "none"), (2, 7, "x.y.com", 0, "none")}
 
 
 def test_language_held_out(spark, sf):
@@ -301,6 +324,50 @@ def test_near_duplicates_against_all_pairs(spark, docs, small, monkeypatch):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_vectors_of_far_clusters_are_not_exchanged(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 32))
+    rows = [(k, [float(v) for v in centres[k % 8] + 0.02 * rng.normal(size=32)]) for k in range(800)]
+    classed = vectors.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    sent = vectors.exchange(classed, 0.95, block=25)
+    own = sent.where("x = y").count()
+    assert own == 800
+    # 32 blocks: sending all vectors to all blocks up to their own would be 800 * 32 / 2 copies for a side
+    assert sent.count() < 800 * 10
+
+
+def findings(seed, n):
+    """(text, start, length, path, secret): what a reviewer would say of assigned hex strings. In test files they are dummies."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        value = "".join(rng.choice(list("0123456789abcdef"), 40))
+        path = ["tests", "src"][k % 2]
+        head = f"line {k} of the file says " + ["token = ", "commit "][k % 4 // 2]
+        out.append((f"{head}{value} and goes on", len(head), 40, path, path == "src" and "token" in head))
+    return out
+
+
+def test_secrets_learn_from_labelled_findings(spark):
+    schema = "text string, start int, length int, path string, secret boolean"
+    useless = [(None, 0, 5, "src", True), ("abc", None, 2, "src", True), ("abc", 0, 0, "src", True), ("abc", 2, 9, "src", True), ("abc", 0, 2, None, None), ("abc", -1, 2, "src", False)]
+    known = spark.createDataFrame(findings(1, 400) + useless, schema).withColumn("label", F.lit(1))
+    rows = findings(2, 200)
+    docs = spark.createDataFrame([(k, t, p) for k, (t, _, _, p, _) in enumerate(rows)], "doc_id long, text string, source string")
+    forest = secrets.fit(docs, known)
+    assert not forest.ruled
+    got = {(r["doc_id"], r["start"]): r["is_secret"] for r in secrets.scan(docs, forest).collect()}
+    flagged = [got[k, r[1]] for k, r in enumerate(rows)]
+    wanted = [r[4] for r in rows]
+    hits = sum(f and w for f, w in zip(flagged, wanted, strict=True))
+    assert hits >= 0.95 * sum(wanted) and hits >= 0.95 * sum(flagged)  # recall and precision
+    # the rules call the dummies in test files secrets; the forest overrules them
+    by_rule = {(r["doc_id"], r["start"]): r["is_secret"] for r in secrets.scan(docs, secrets.fit(docs)).collect()}
+    dummies = [(k, r[1]) for k, r in enumerate(rows) if r[3] == "tests" and "token" in r[0]]
+    assert dummies and all(by_rule[d] and not got[d] for d in dummies)
+    assert secrets.fit(docs.limit(0), known.limit(0)).ruled  # nothing to learn: the rules decide
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     a, b = " ".join(f"a{k}" for k in range(400)), " ".join(f"a{k}" for k in range(100, 500))
     sig, has = minhash.signatures([a, b, ""], 2000)
@@ -308,6 +375,41 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - 296 / 496) < 0.05
 
 
+def probability_jaccard(a, b):
+    """Of two texts' weighted shingles, by its definition; and their plain Jaccard similarity."""
+    x, y = ({s: minhash.HEAVIEST - (minhash.HEAVIEST - 1) / w.count(s) for s in set(w)} for w in (list(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in (a, b)))
+    both = x.keys() & y.keys()
+    value = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in both)
+    return value, len(both) / len(x.keys() | y.keys())
+
+
+def test_prob_minhash_of_unequal_counts():
+    a = " ".join(f"a{k}" for k in range(120))
+    for b in (f"{a} {a} {a}", " ".join(f"a{k}" for k in range(40, 120)) * 1 + " " + " ".join(f"a{k}" for k in range(30, 150)), f"{a[:300]} {a[:300]} {a}"):
+        sig, _ = minhash.signatures([a, b], 4000)
+        value, plain = probability_jaccard(a, b)
+        assert abs((sig[0] == sig[1]).mean() - value) < 0.04
+        assert value >= plain / minhash.HEAVIEST
+    assert probability_jaccard(a, f"{a[:300]} {a[:300]} {a}")[0] < probability_jaccard(a, f"{a[:300]} {a[:300]} {a}")[1]  # counts weigh
+
+
+def test_recall_of_many_links(spark):
+    rng, texts, similar = np.random.default_rng(8), [], []
+    for k in range(400):
+        a = [f"d{k}w{x}" for x in range(int(rng.integers(60, 200)))]
+        b = list(a)
+        for at in rng.integers(0, len(b), int(rng.integers(1, 3))):
+            b[at] = f"d{k}new{at}"
+        b = b[: len(b) // 2] * int(rng.integers(1, 4)) + b[len(b) // 2 :]
+        texts += [" ".join(a), " ".join(b)]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        similar.append(len(x & y) / len(x | y) >= 0.8)
+    assert sum(similar) >= 300 and not all(similar)
+    got = {r["doc_id"]: r["cluster_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    linked = [got[2 * k] == got[2 * k + 1] for k in range(400)]
+    assert linked == similar  # every link of the exact rule and no other
+
+
 def test_near_copies_that_repeat_passages_are_found(spark):
     rng, texts, similar = np.random.default_rng(3), [], []
     for k in range(60):
@@ -320,7 +422,7 @@ def test_near_copies_that_repeat_passages_are_found(spark):
         similar.append(len(x & y) / len(x | y))
     assert min(similar) >= 0.88
     sig, _ = minhash.signatures(texts, 2000)
-    assert np.abs((sig[::2] == sig[1::2]).mean(1) - similar).max() < 0.05
+    assert ((sig[::2] == sig[1::2]).mean(1) >= np.array(similar) / minhash.HEAVIEST - 0.05).all()
     got = {r["doc_id"]: r["cluster_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
     assert got == {k: k - k % 2 for k in range(len(texts))}
 
