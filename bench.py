@@ -20,7 +20,8 @@ HEADLINE = [
     "q_length_stats", "q_histogram", "q_balance", "q_gaps", "q_synth_crop", "q_synth_market", "q_synth_grid",
     "q_review_queue", "q_index_stats", "q_bm25", "q_tfidf", "q_hash_embed", "q_dense_topk", "q_rrf", "q_query_plan",
     "q_graph_edges", "q_neighbors", "q_ecosystem", "q_price_summary", "q_pest", "q_audit", "q_farm_upsert",
-    "q_ingest_plan", "q_stream_alerts", "q_stream_windows",
+    "q_ingest_plan", "q_stream_alerts", "q_stream_windows", "q_quality_run", "q_multi_query", "q_dense_search", "q_two_hop", "q_lake_flow",
+    "q_profile_merge", "q_ingest_revert", "q_stream_upsert", "q_stream_ttl", "q_standardize_crops",
 ]
 
 

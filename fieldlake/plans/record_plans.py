@@ -161,7 +161,7 @@ def leakage(spark, sf):
 PROFILE = """
 WITH r AS (SELECT d.doc_id, NULLIF(text, '') AS question, CASE WHEN l.quality = 1 THEN source ELSE '' END AS source,
   CASE WHEN l.doc_id IS NULL THEN NULL ELSE lang END AS language, l.quality AS verified,
-  CASE WHEN d.n_chars > 2000 THEN [lang] ELSE [] END AS tags
+  CASE WHEN d.doc_id % 3 = 0 THEN [lang] ELSE [] END AS tags
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 """
 
@@ -173,7 +173,7 @@ def _profile(spark, sf):
         "doc_id", F.nullif("text", F.lit("")).alias("question"),
         F.when(F.col("quality") == 1, F.col("source")).otherwise("").alias("source"),
         F.when(F.col("hit"), F.col("lang")).alias("language"), F.col("quality").alias("verified"),
-        F.when(F.col("n_chars") > 2000, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("tags"))
+        F.when(F.col("doc_id") % 3 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("tags"))
 
 
 @query("q_missingness", PROFILE + ", m AS (" + " UNION ALL ".join(
