@@ -266,7 +266,7 @@ def ngram_jaccard(spark, sf):
         F.round(dedup.jaccard(F.col("s"), F.col("s2")), 6).alias("jaccard"))
 
 
-NEAR_READABLE = _near_sql(rows="(SELECT * FROM documents WHERE source IS DISTINCT FROM 'src13')", scope="", group="", scope_col="1",
+NEAR_READABLE = _near_sql(rows=f"(SELECT * REPLACE ({C_DOC} AS text) FROM documents WHERE source IS DISTINCT FROM 'src13')", scope="", group="", scope_col="1",
                       scope_out="", scope_join="")
 
 
@@ -278,7 +278,7 @@ def quality_run(spark, sf):
     d = table(spark, sf, "documents")
     body = F.to_json(F.struct(F.array(F.struct("text")).alias("records")))
     files = d.select("doc_id", F.lit("market").alias("domain"), F.col("doc_id").alias("path"),
-                     F.when(F.col("source") == "src13", '{"records": [').otherwise(body).alias("payload"), "text")
+                     F.when(F.col("source") == "src13", '{"records": [').otherwise(body).alias("payload"))
     return quality.run_quality(files, "doc_id", ["text"])
 
 
