@@ -63,13 +63,16 @@ def _words(names: str) -> set[str]:
     out: set[str] = set()
     for name in names.split():
         parts = [p.lower() for p in _NAME.findall(name)]
-        if parts and parts[0] not in _HAS:
-            out.update(parts)
+        # "page-with-sidebar" is no sidebar
+        upto = next((k for k, p in enumerate(parts) if p in _HAS), len(parts))
+        out.update(parts[:upto])
     return out
 
 
 def _kind(tag: str, attributes: dict[str, str], now: int) -> int:
     """What an element makes of its lines, given what it stands in."""
+    if tag == "main":
+        return ARTICLE  # a page has one, so what it stands in was misjudged if it is called furniture
     if now == FURNISHED or tag in DROPPED:
         return FURNISHED
     roles = set(attributes.get("role", "").lower().split())
@@ -77,9 +80,9 @@ def _kind(tag: str, attributes: dict[str, str], now: int) -> int:
         return FURNISHED
     if tag in ("html", "body"):
         return now
-    declares = tag in ("article", "main") or bool(roles & ARTICLE_ROLES) or attributes.get("itemprop") == "articleBody"
+    declares = tag == "article" or bool(roles & ARTICLE_ROLES) or attributes.get("itemprop") == "articleBody"
     named = _words(f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    if named & FURNITURE and not (declares and tag == "main"):
+    if named & FURNITURE:
         return FURNISHED
     if declares:
         return ARTICLE

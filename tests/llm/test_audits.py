@@ -116,6 +116,8 @@ def test_markup():
     assert kinds[PROSE[0]] == kinds["Head & line"] == extract.ARTICLE
     assert all(kinds[t] == extract.FURNISHED for t in ("Site", "Home", "We use cookies.", "Most read", "© 2024 1", "first!!"))
     assert not {"no", "Go", "T 1"} & set(kinds) - {"Go"}
+    wrapped = {t: k for t, k, _, _ in extract.lines("<div class='page-with-sidebar noAds'><div class='banner-top'><main><p>a</main></div><p>b<p class='adSlot'>c</div>")}
+    assert wrapped == {"a": extract.ARTICLE, "b": extract.OPEN, "c": extract.FURNISHED}
     for broken in ("", "<", "<p", "<p title=\"a>b", "a<!-- b", "</div></p>x", "<script>x", "<a href='x>y</a>z", "&#xD800; &am", "<p>" * 3000 + "x", "\x00<b>", "<article>"):
         assert isinstance(extract.lines(broken), list)
     assert [t for t, *_ in extract.lines("a < b <p title='1 > 0'>c")] == ["a < b", "c"]
