@@ -15,6 +15,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,28 +47,34 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
 
-    def frame(sums: dict[tuple[str, str], tuple[Counter, Counter]]) -> pd.DataFrame:
-        out = [(*g, t.decode(), n[t], d) for g, (n, df) in sums.items() for t, d in df.items()]
-        return pd.DataFrame(out, columns=["lang", "source", "term", "n", "docs"])
+    names = ["lang", "source", "term", "n", "docs"]
+
+    def handed_on(sums: dict[tuple[str, str], tuple[Counter, Counter]]):
+        for (l, s), (n, df) in sums.items():
+            term = pa.array(list(df), pa.binary()).cast(pa.string())
+            columns = [pa.repeat(l, len(df)), pa.repeat(s, len(df)), term, pa.array(list(map(n.__getitem__, df)), pa.int64()), pa.array(list(df.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     def count(batches):
         sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         held = 0
         for b in batches:
-            for key, t in zip(zip(b["lang"], b["source"], strict=True), b["text"], strict=True):
-                n, df = sums.setdefault(key, (Counter(), Counter()))
+            for l, s, t in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                if (l, s) not in sums:
+                    sums[l, s] = Counter({b"": 0}), Counter({b"": 0})
+                n, df = sums[l, s]
                 before = len(df)
-                own = Counter(terms(t))
-                n.update(own)
-                df.update(own.keys())
+                found = terms(t)
+                n.update(found)
+                df.update(set(found))
                 df[b""] += 1
                 held += len(df) - before
                 if held > HELD:
-                    yield frame(sums)
+                    yield from handed_on(sums)
                     sums, held = {}, 0
-        yield frame(sums)
+        yield from handed_on(sums)
 
-    own = rows.mapInPandas(count, "lang string, source string, term string, n long, docs long")
+    own = rows.mapInArrow(count, "lang string, source string, term string, n long, docs long")
     return own.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
