@@ -21,9 +21,9 @@ from fieldlake.llm.textkernel import slices, span_hashes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks a worker keeps (about 150 bytes each), and the longest chunk it keeps.
-CACHE, CHUNK = 300_000, 40
+CACHE, CHUNK = 800_000, 40
 #: Characters that are split and encoded in one go, and new chunks in one call of the tokenizer.
-SLICE, CALL = 1_000_000, 20_000
+SLICE, CALL = 2_000_000, 20_000
 
 _ODD = re.compile(r" \s| \Z")
 
