@@ -32,3 +32,8 @@ def pages():
 def test_html_clean_decodes_all_references(spark, tmp_path):
     got, want = both(spark, tmp_path, "q_html_clean", pages=pages())
     assert got == want and len(got) == len(PAGES)
+
+
+def test_clean_stage_decodes_all_references(spark, tmp_path):
+    got, want = both(spark, tmp_path, "q_clean_stage", pages=pages())
+    assert got == want and len(got) == len(PAGES)
