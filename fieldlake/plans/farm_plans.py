@@ -95,6 +95,13 @@ WITH f AS (SELECT c_custkey AS farm_id, {CROP_OF} AS crop, abs(c_acctbal) / 1000
   c_nationkey * 4.0::DOUBLE AS h, c_nationkey * 1.5::DOUBLE AS r FROM customer)"""
 
 
+def _tenth(x: str) -> str:
+    """A double that is not negative to one place, half-even by its shortest decimal form; whole numbers count steps of 1e-18."""
+    u = f"CAST(replace(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)) AS VARCHAR), '.', '') AS HUGEINT)"
+    step, half = 10**17, 5 * 10**16
+    return f"({u} // {step} + CASE WHEN {u} % {step} > {half} OR ({u} % {step} = {half} AND {u} // {step} % 2 = 1) THEN 1 ELSE 0 END) / 10.0::DOUBLE"
+
+
 def _farms(spark, sf):
     seg, nk = F.col("c_mktsegment"), F.col("c_nationkey")
     crop = F.when(seg == "BUILDING", "Cotton").when(seg == "AUTOMOBILE", "Soybean").when(seg == "MACHINERY", "Pomegranate").when(
@@ -145,8 +152,8 @@ n AS (SELECT *, (CASE crop WHEN 'Cotton' THEN 40 WHEN 'Soybean' THEN 12 WHEN 'Po
     * (CASE WHEN nk * 20 < 200 THEN 1.15::DOUBLE WHEN nk * 20 > 300 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END) * acreage AS n,
   (CASE crop WHEN 'Soybean' THEN 24 WHEN 'Pomegranate' THEN 25 ELSE 20 END)::DOUBLE * (CASE WHEN nk * 2 < 20 THEN 1.15::DOUBLE WHEN nk * 2 > 35 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END) * acreage AS p,
   (CASE crop WHEN 'Soybean' THEN 16 WHEN 'Pomegranate' THEN 50 ELSE 20 END)::DOUBLE * (CASE WHEN nk * 15 < 150 THEN 1.15::DOUBLE WHEN nk * 15 > 280 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END) * acreage AS k FROM f)
-SELECT farm_id, round(n, 1) AS need_n, round(greatest(0.0::DOUBLE, n - p / 0.46::DOUBLE * 0.18::DOUBLE) / 0.46::DOUBLE / 45.0::DOUBLE, 1) AS urea_bags,
-  round(p / 0.46::DOUBLE / 50.0::DOUBLE, 1) AS dap_bags, round(k / 0.6::DOUBLE / 50.0::DOUBLE, 1) AS mop_bags, CAST(trunc(acreage * 2.5) AS INTEGER) AS fym_tonnes FROM n""")
+SELECT farm_id, """ + _tenth("n") + """ AS need_n, """ + _tenth("greatest(0.0::DOUBLE, n - p / 0.46::DOUBLE * 0.18::DOUBLE) / 0.46::DOUBLE / 45.0::DOUBLE") + """ AS urea_bags,
+  """ + _tenth("p / 0.46::DOUBLE / 50.0::DOUBLE") + """ AS dap_bags, """ + _tenth("k / 0.6::DOUBLE / 50.0::DOUBLE") + """ AS mop_bags, CAST(trunc(acreage * 2.5) AS INTEGER) AS fym_tonnes FROM n""")
 def fertilizer_score(spark, sf):
     nk = F.col("nk")
     f = _farms(spark, sf).select("*", (nk * 20).alias("n_kg_ha"), (nk * 2).alias("p_kg_ha"), (nk * 15).alias("k_kg_ha"))

@@ -37,3 +37,11 @@ def test_html_clean_decodes_all_references(spark, tmp_path):
 def test_clean_stage_decodes_all_references(spark, tmp_path):
     got, want = both(spark, tmp_path, "q_clean_stage", pages=pages())
     assert got == want and len(got) == len(PAGES)
+
+
+def test_fertilizer_rounds_half_even(spark, tmp_path):
+    balances = [6.25, 10000 / 40 + 31.25, 281.25, 9010.0, 2.07, -1875.5, 0.0, 4999.99, 123.45]
+    n = len(balances)
+    customer = pa.table({"c_custkey": list(range(n)), "c_mktsegment": ["BUILDING", "AUTOMOBILE", "MACHINERY"] * (n // 3), "c_nationkey": [12] * n, "c_acctbal": balances})
+    got, want = both(spark, tmp_path, "q_fertilizer", customer=customer)
+    assert got == want and len(got) == n
