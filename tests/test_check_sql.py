@@ -45,3 +45,13 @@ def test_fertilizer_rounds_half_even(spark, tmp_path):
     customer = pa.table({"c_custkey": list(range(n)), "c_mktsegment": ["BUILDING", "AUTOMOBILE", "MACHINERY"] * (n // 3), "c_nationkey": [12] * n, "c_acctbal": balances})
     got, want = both(spark, tmp_path, "q_fertilizer", customer=customer)
     assert got == want and len(got) == n
+
+
+def test_stream_windows_round_ties_alike(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(u, start + dt.timedelta(minutes=i * (u + 1) % 1400), 40 + ((i * 7 + u) % 100) / 100 + (i == 0) * (1 + 2 * u) / 100) for u in range(40) for i in range(32)]
+    rows += [(99, start, float("nan")), (99, start, 50.0), (98, start, None), (0, start + dt.timedelta(days=9), 1.0)]
+    events = pa.table({"event_id": list(range(len(rows))), "ts": pa.array([r[1] for r in rows], pa.timestamp("us")), "user_id": [r[0] for r in rows],
+                       "value": [r[2] for r in rows]})
+    got, want = both(spark, tmp_path, "q_stream_windows", events=events)
+    assert got == want and len(got) == 82
