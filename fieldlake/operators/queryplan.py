@@ -10,6 +10,7 @@ from fieldlake.functions import text as T
 from fieldlake.functions import vocab
 from fieldlake.operators.retrieval import contains_join
 from fieldlake.operators.synth import render
+from fieldlake.sources.store import materialize
 
 MAX_EXPANSIONS = 6
 
@@ -136,12 +137,14 @@ def search_catalog(
     )).alias("token"))
     words = tokens.select("token").distinct().withColumn("token_id", F.col("token"))
     hits = contains_join(words, "token_id", "token", items.withColumn("_blob", F.lower(blob)), item_id, "_blob")
-    matched = tokens.join(hits.select("token", item_id), "token").select("qid", item_id).distinct()
+    # A query's first `cap` items are among the first `cap` of its words, so only those meet the queries.
+    heads = hits.select("token", item_id).withColumn("place", F.dense_rank().over(_by("token", item_id))).filter(F.col("place") <= cap)
+    matched = tokens.join(materialize(heads.drop("place"), "word-items"), "token").select("qid", item_id).distinct()
     first = F.row_number().over(_by("qid", item_id))
     ranked = matched.withColumn("rank", first).filter(F.col("rank") <= cap).withColumn("matched", F.lit(True))
     # The first items are at most `cap` or `fallback` rows, so they travel as one array.
-    heads = items.select(item_id).orderBy(item_id).limit(max(cap, fallback))
-    listed = heads.agg(F.sort_array(F.collect_list(item_id)).alias("ids"))
+    begin = items.select(item_id).orderBy(item_id).limit(max(cap, fallback))
+    listed = begin.agg(F.sort_array(F.collect_list(item_id)).alias("ids"))
     blank = F.coalesce("query", F.lit("")) == ""
     none = queries.join(matched, "qid", "left_anti").select("qid", blank.alias("matched"))
     ids = F.slice(listed.scalar(), F.lit(1), F.when(F.col("matched"), cap).otherwise(fallback))

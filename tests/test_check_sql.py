@@ -55,3 +55,17 @@ def test_stream_windows_round_ties_alike(spark, tmp_path):
                        "value": [r[2] for r in rows]})
     got, want = both(spark, tmp_path, "q_stream_windows", events=events)
     assert got == want and len(got) == 82
+
+
+def test_scheme_search_sends_each_word_only_its_first_items(spark, tmp_path, monkeypatch):
+    from fieldlake.operators import queryplan
+
+    seen = []
+    write = queryplan.materialize
+    monkeypatch.setattr(queryplan, "materialize", lambda df, label: seen.append(write(df, label)) or seen[-1])
+    part = pa.table({"p_partkey": list(range(90)), "p_name": [["ring", "gear", "ring gear", "bolt"][i % 4] for i in range(90)], "p_type": ["building" if i % 7 == 0 else "x" for i in range(90)],
+                     "p_brand": ["b"] * 90})
+    customer = pa.table({"c_custkey": list(range(40)), "c_mktsegment": ["BUILDING", "AUTOMOBILE"] * 20, "c_nationkey": [i % 25 for i in range(40)]})
+    got, want = both(spark, tmp_path, "q_scheme_search", part=part, customer=customer)
+    assert got == want and len(got) == 40 * 8 - 3 * 3 * 2
+    assert seen[0].count() <= 3 * 8
