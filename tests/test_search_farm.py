@@ -153,3 +153,16 @@ def test_plans_have_no_nested_loop(spark, docs):
     hits = retrieval.bm25(q, post, retrieval.corpus_stats(docs, F.col("text")), 3)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "WindowGroupLimit" in plan
+
+
+def test_scores_add_up_without_a_shuffle_of_pairs(spark):
+    import re
+
+    from fieldlake.operators import retrieval
+
+    docs = spark.createDataFrame([(i, f"wheat {'rain' if i % 2 else 'soil'} w{i}") for i in range(30)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "wheat rain"), (1, "soil w4")], "qid long, query string")
+    index = retrieval.build_index(docs, "doc_id", F.col("text"))
+    for hits in (retrieval.bm25(asked, index, retrieval.corpus_stats(docs, F.col("text")), 3), retrieval.tfidf(asked, index, F.lit(30), 3)):
+        assert len(hits.collect()) >= 4
+        assert not re.search(r"hashpartitioning\(qid#\w+, doc_id#", hits._jdf.queryExecution().executedPlan().toString())
