@@ -19,6 +19,8 @@ from fieldlake.session import use_checkpoints
 
 # How long a feed answer stays valid, in seconds.
 PRICE_TTL, SEARCH_TTL = 600, 300
+# Groups of keys that keep their answers in one state row.
+GROUPS = 1_024
 
 
 def read_feed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -89,38 +91,50 @@ def sustained_runs(readings: DataFrame, key: str, ts: str, value: str, threshold
     return spells.where(F.col("last") >= F.col("first") + F.expr(f"interval {least}")).select(key, "first", "last", "min_value", "n")
 
 
-def first_answers(requests: DataFrame, keys: list[str], ts: str, ttl_seconds: int = PRICE_TTL, late: str = "600 seconds") -> DataFrame:
+def first_answers(requests: DataFrame, keys: list[str], ts: str, ttl_seconds: int = PRICE_TTL, late: str = "600 seconds", groups: int = GROUPS) -> DataFrame:
     """(keys, answered_at): requests that have to be answered anew, because the key's last answer is `ttl_seconds` old.
 
-    A key's state is its last answer and the requests that wait for the watermark; a timer wakes it
-    when the watermark passes the next one. So the order in which requests arrive within `late`
+    The keys are dealt to `groups` by hash, and a group's state holds its keys' last answers and the
+    requests that wait for the watermark; a timer wakes it when the watermark passes the next one. So a key
+    costs a few values instead of a call of its own, and the order in which requests arrive within `late`
     changes nothing; later ones are dropped. One waiting time stands for all its repeats.
     """
     types = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
-    out = ", ".join([*(f"{k} {types[k]}" for k in keys), f"answered_at {types[ts]}"])
+    ttl = ttl_seconds * 1_000_000
 
-    def answer(key, frames, state):
-        last, waiting = state.get if state.exists else (None, [])
-        waiting = sorted({*waiting, *(int(t.value // 1000) for f in frames for t in f[ts] if t is not pd.NaT)})
+    def answer(group, frames, state):
+        held, last, asked, waiting = state.get if state.exists else ([], [], [], [])
+        last = dict(zip(held, last, strict=True))
         now = state.getCurrentWatermarkMs() * 1000
-        answered, left = [], []
-        for t in waiting:
-            if t > now:
-                left.append(t)
-            elif last is None or t >= last + ttl_seconds * 1_000_000:
-                last = t
-                answered.append(t)
-        if not left and last is not None and now >= last + ttl_seconds * 1_000_000:
-            state.remove()  # the next request is answered anyway
-        else:
-            state.update((last, left))
-            wake = min(left) if left else last + ttl_seconds * 1_000_000
+        rows = pd.concat([pd.DataFrame({"_key": pd.Series(asked, dtype=object), "_at": pd.Series(waiting, dtype="int64")}), *(f[["_key", "_at"]] for f in frames)])
+        rows = rows.drop_duplicates().sort_values("_at")
+        due = rows["_at"] <= now
+        answered = []
+        for k, t in zip(rows["_key"][due].tolist(), rows["_at"][due].tolist(), strict=True):
+            if k not in last or t >= last[k] + ttl:
+                last[k] = t
+                answered.append((k, t))
+        last = {k: t for k, t in last.items() if now < t + ttl}  # after that the next request is answered anyway
+        left = rows[~due]
+        if last or len(left):
+            state.update((list(last), list(last.values()), left["_key"].tolist(), left["_at"].tolist()))
+            wake = min([*(t + ttl for t in last.values()), *left["_at"].head(1).tolist()])
             state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         if answered:
-            yield pd.DataFrame({**{k: [v] * len(answered) for k, v in zip(keys, key, strict=True)}, "answered_at": pd.to_datetime(answered, unit="us")})
+            yield pd.DataFrame(answered, columns=["_key", "_at"])
 
-    rows = requests.withWatermark(ts, late).select(*keys, ts)
-    return rows.groupBy(*keys).applyInPandasWithState(answer, out, "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    # a group's rows carry their key as one string, which is exact and may hold nulls
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+    rows = requests.withWatermark(ts, late).where(F.col(ts).isNotNull()).select(
+        F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group"), F.to_json(F.struct(*keys), exact).alias("_key"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), ts)
+    found = rows.groupBy("_group").applyInPandasWithState(
+        answer, "_key string, _at long", "held array<string>, last array<long>, asked array<string>, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(
+        F.from_json("_key", ", ".join(f"`{k}` {types[k]}" for k in keys), exact).alias("_key"),
+        F.timestamp_micros("_at").cast(types[ts]).alias("answered_at")).select("_key.*", "answered_at")
 
 
 def upsert_fields(updates: DataFrame, key: str, ts: str, tie: str, fields: list[str], state: str, progress: str) -> None:
@@ -155,8 +169,8 @@ def replayed(rows: DataFrame, ts: str, files: int, label: str) -> DataFrame:
     base = sink_folder(spark, label)
     cuts = rows.select(F.percentile_approx(ts, [k / files for k in range(1, files)])).first()[0] if files > 1 else []
     number = sum((F.when(F.col(ts) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    for k in range(files):  # one write per file keeps their order in time
-        rows.where(F.coalesce(number, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(base)
+    for k in range(files):  # one write per file keeps their order in time; all cores read, one task writes
+        rows.where(F.coalesce(number, F.lit(0)) == k).repartition(1).write.mode("append").parquet(base)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
 
 

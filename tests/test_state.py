@@ -103,6 +103,26 @@ def test_answers_hold_from_the_first_one(spark, tmp_path):
         ("k", at(0)), ("k", at(11)), ("k", at(21)), ("k", at(40)), ("k", at(301)), ("m", at(19)), ("m", at(29)), ("m", at(300))]
 
 
+def test_answers_of_many_keys_share_their_state(spark, tmp_path):
+    rng = random.Random(4)
+    keys = [(None, "a\"b"), (2**60 + 1, None), *((k, "x") for k in range(40))]
+    rows = [(*rng.choice(keys), at(rng.randint(0, 400))) for _ in range(600)]
+    rows = sorted(rows, key=lambda r: r[2]) + [(7, "x", None), (7, "x", at(9000))]
+    stream = in_batches(spark, str(tmp_path / "in"), [rows[:200], rows[200:450], rows[450:]], "k long, s string, ts timestamp")
+    out = feeds.first_answers(stream, ["k", "s"], "ts", 3600, "15 minutes", groups=3)
+    query = out.writeStream.format("memory").queryName("shared").outputMode("append").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want, last = set(), {}
+    for k, s, t in rows[:-2]:
+        if (k, s) not in last or t >= last[k, s] + dt.timedelta(hours=1):
+            last[k, s] = t
+            want.add((k, s, t))
+    got = [tuple(r) for r in spark.table("shared").collect()]
+    assert len(got) == len(want) and set(got) == want
+    # a state row per group of keys, not per key
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
+
+
 def test_spells_of_high_readings(spark, tmp_path):
     day = 24 * 60
     rows = [("a", at(k * day // 2), 50.0) for k in range(6)] + [("b", at(k * 2 * day), 50.0) for k in range(4)] + [("c", at(k * day // 2), 50.0 if k not in (2, 3) else 1.0) for k in range(6)]
