@@ -122,3 +122,24 @@ def test_hash_embedding(spark):
         want[h % 384] += w if (h // 384) % 2 == 0 else -w
     assert np.allclose(vec, want / np.linalg.norm(want), atol=1e-6)
     assert not any(one(spark, "", hash_embed(F.col("t")))[0])
+
+
+def test_hash_embedding_of_many_texts(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from fieldlake.functions import embedding
+
+    calls = []
+    for name in ("md5", "sha1"):
+        monkeypatch.setattr(embedding.hashlib, name, lambda b, made=getattr(hashlib, name): (calls.append(b), made(b))[1])
+    texts = ["Cotton pest cotton", "", "a", "É\u2028x\x1c y\x85z", "बोंड अळी", "a_b a b", "😀a😀b"] * 3
+    got = embedding.embed(texts)
+    hashed = len(calls)
+    for t, vec in zip(texts, got, strict=True):
+        assert np.array_equal(vec, embedding.embed([t])[0])  # texts beside it change nothing
+    calls.clear()
+    embedding.embed(texts[:7])
+    assert hashed == len(calls)  # texts that repeat are not hashed again
+    assert got.shape == (21, 384) and np.allclose(np.linalg.norm(got, axis=1), [float(t != "") for t in texts])
