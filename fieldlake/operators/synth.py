@@ -3,7 +3,7 @@
 A pack is data: its templates and a few column templates. Rendering turns every template
 into a concat expression, and one row of facts explodes into one row per template. Fixed
 dimensions (stages, districts, soils, months, practices) join the same way, as array
-literals, so synthesis is a narrow job: one scan, no shuffle, no join.
+literals, so synthesis is one scan without a join; only the facts are dealt to all cores.
 """
 
 from __future__ import annotations
@@ -114,11 +114,20 @@ def with_practices(facts: DataFrame) -> DataFrame:
     )
 
 
+def dealt(facts: DataFrame) -> DataFrame:
+    """`facts` on all cores: the rows they give are many times larger than they are, and a file of them may be read by one task."""
+    cores = facts.sparkSession.sparkContext.defaultParallelism
+    return facts.repartition(3 * cores)
+
+
 def synthesize(facts: DataFrame, pack: Pack | str) -> DataFrame:
     """Standard records of one pack: rendered, length gated, with id, split and confidence."""
     pack = PACKS[pack] if isinstance(pack, str) else pack
     rows = []
+    # a fact's key and split are the same for many templates: they are found once, before the fact becomes rows
+    keys = {k: n for n, k in enumerate(dict.fromkeys(pack.fact_keys.get(q[0], pack.fact_key) for q in pack.questions))}
     for template_id, language, question, answer, confidence in pack.questions:
+        n = keys[pack.fact_keys.get(template_id, pack.fact_key)]
         q = render(question)
         if pack.question_limit:
             q = F.substring(q, 1, pack.question_limit)
@@ -128,13 +137,16 @@ def synthesize(facts: DataFrame, pack: Pack | str) -> DataFrame:
             T.strip(q).alias("question"),
             T.strip(render(pack.answers[answer])).alias("answer"),
             F.lit(confidence).alias("confidence"),
-            render(pack.fact_keys.get(template_id, pack.fact_key)).alias("fact_key"),
+            F.col(f"_key{n}").alias("fact_key"),
+            F.col(f"_split{n}").alias("split"),
             F.lit(pack.categories.get(template_id, pack.category)).alias("category"),
         ))
     crop = X.resolve_crop(F.col("crop")) if pack.has_crop else F.lit(None).cast("string")
     district = F.col("district") if "district" in facts.columns else F.lit(None).cast("string")
     state = F.col("state") if "state" in facts.columns else F.lit("Maharashtra")
-    out = facts.select(
+    keyed = dealt(facts).select("*", *(render(k).alias(f"_key{n}") for k, n in keys.items()))
+    keyed = keyed.select("*", *(T.assign_split(F.col(f"_key{n}")).alias(f"_split{n}") for n in keys.values()))
+    out = keyed.select(
         crop.alias("crop"), district.alias("district"), F.coalesce(state, F.lit("Maharashtra")).alias("state"),
         render(pack.source).alias("source"), F.explode(F.array(*rows)).alias("r"),
     ).select("crop", "district", "state", "source", "r.*")
@@ -143,7 +155,7 @@ def synthesize(facts: DataFrame, pack: Pack | str) -> DataFrame:
         T.synth_id(F.col("fact_key"), F.col("template_id"), F.col("language")).alias("id"),
         "category", F.lit(pack.subcategory or f"{pack.name}_synth").alias("subcategory"), "crop",
         F.struct("state", "district").alias("region"), "language", "question", "answer", "source",
-        "confidence", T.assign_split(F.col("fact_key")).alias("split"), "fact_key", "template_id",
+        "confidence", "split", "fact_key", "template_id",
         F.lit(pack.name).alias("pack"),
     )
 

@@ -213,3 +213,17 @@ def test_dimensions(spark):
     assert quality.integrity(dim.crop_dim(spark), "id", ["name_en", "name_mr", "name_hi", "crop_group"], 20).filter("NOT ok").count() == 0
     assert {r["item"]: r["n"] for r in dim.taxonomy_summary(spark).collect()}["mh_districts"] == 37 == dim.district_dim(spark).count()
     assert dim.unit_dim(spark).filter("alias = 'quintal'").first()["factor"] == 100.0
+
+
+def test_synthesis_uses_all_cores(spark):
+    from fieldlake.functions import text as T
+
+    crops = synth.taxonomy_facts(spark).coalesce(1)
+    for pack in ("crop", "safety"):
+        out = synth.synthesize(crops, pack)
+        assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # the split of a fact is found before it becomes a row per template, once per kind of key
+        above, below = plan.split("Generate ", 1)
+        assert "md5(" not in above and "md5(" in below
+        assert out.where(F.col("split") != T.assign_split(F.col("fact_key"))).count() == 0
