@@ -62,6 +62,20 @@ def neighbors(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
         "id", "direction", "relation", "neighbor", "label", "properties")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(id, direction, relation, neighbor): each edge seen from both of its ends, in one pass."""
+    out = F.struct(F.col("source").alias("id"), F.lit("outgoing").alias("direction"), "relation", F.col("target").alias("neighbor"))
+    into = F.struct(F.col("target").alias("id"), F.lit("incoming").alias("direction"), "relation", F.col("source").alias("neighbor"))
+    return edges.select(F.explode(F.array(out, into)).alias("e")).select("e.*")
+
+
+def all_neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`neighbors` of every edge end. Each of them is a node, so only the neighbour's facts are joined."""
+    # a node without facts adds nothing to a left join
+    facts = nodes.where("label IS NOT NULL OR properties IS NOT NULL").select(F.col("id").alias("neighbor"), "label", "properties")
+    return both_ways(edges).join(facts, "neighbor", "left").select("id", "direction", "relation", "neighbor", "label", "properties")
+
+
 def ecosystem(around: DataFrame) -> DataFrame:
     """(id, role, neighbor) rows: pests, soils, fertilisers and schemes of an entity."""
     roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])

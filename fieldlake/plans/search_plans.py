@@ -444,7 +444,7 @@ SELECT e.source AS id, 'outgoing' AS direction, relation, target AS neighbor, la
 UNION ALL SELECT e.target, 'incoming', relation, source, label FROM edges e LEFT JOIN nodes ON id = source""")
 def neighbors(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return graph.neighbors(nodes.select("id"), nodes, edges).select("id", "direction", "relation", "neighbor", "label")
+    return graph.all_neighbors(nodes, edges).select("id", "direction", "relation", "neighbor", "label")
 
 
 @query("q_two_hop", f"""WITH {GRAPH},
@@ -467,8 +467,7 @@ SELECT id, count(*) FILTER (relation = 'AFFECTED_BY') AS pests_and_diseases, cou
   count(*) FILTER (relation = 'REQUIRES_FERTILIZER') AS recommended_fertilizers, count(*) FILTER (relation = 'COVERED_BY') AS applicable_schemes
 FROM a GROUP BY id""")
 def ecosystem(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    return graph.ecosystem_counts(graph.neighbors(nodes.select("id"), nodes, edges))
+    return graph.ecosystem_counts(graph.both_ways(_graph(spark, sf)[1]))
 
 
 @query("q_entity_match", """

@@ -151,3 +151,16 @@ def test_hops_against_breadth_first_search(spark, hops):
             seen |= set(found)
     got = graph.within_hops(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "source string, target string, relation string"), hops)
     assert {tuple(r) for r in got.select("id", "hop", "node", "via", "path").collect()} == want
+
+
+def test_all_neighbors_join_only_facts(spark):
+    nodes = spark.createDataFrame([("a", "A", {"name": "a"}, 1), ("b", None, None, 2), ("z", "Z", None, 3)], "id string, label string, properties map<string,string>, ord long")
+    raw = [("a", "b", "AFFECTED_BY", 1), ("a", "b", "GROWS_IN", 2), ("b", "a", "COVERED_BY", 1), ("b", "c", "ODD", 1), ("c", "c", "GROWS_IN", 1)]
+    nodes, edges = graph.build_graph(nodes, spark.createDataFrame(raw, "source string, target string, relation string, ord long"))
+    found = graph.all_neighbors(nodes, edges)
+    columns = ["id", "direction", "relation", "neighbor", "label", "properties"]
+    assert sorted(map(repr, found.select(columns).collect())) == sorted(map(repr, graph.neighbors(nodes.select("id"), nodes, edges).select(columns).collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    counts = graph.ecosystem_counts(graph.both_ways(edges))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, graph.ecosystem_counts(graph.neighbors(nodes.select("id"), nodes, edges)).collect()))
+    assert "Join " not in counts._jdf.queryExecution().optimizedPlan().toString()
