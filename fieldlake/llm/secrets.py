@@ -6,7 +6,7 @@ characters, the value after a secret word and = or : (what the quotes hold, else
 a quote or < >, without closing punctuation). Candidates do not overlap. The forest looks at its length, its character transitions, how much of it
 common letter trigrams cover, the document's path and the words around it. It is trained from
 labelled findings; where none are given, rules label those of all documents whose context leaves
-no doubt, and a bounded hash sample of each class is learned.
+no doubt, and all of them are learned.
 """
 
 from __future__ import annotations
@@ -22,16 +22,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlake.llm.textkernel import mix
+from fieldlake.llm.textkernel import mix, slices
 from fieldlake.sources.store import materialize
 
-#: Documents (about) that give the trigram table; findings of a class (up to about twice as many) that the forest
-#: learns from where none are labelled.
-SAMPLE, PER_CLASS = 20_000, 10_000
 TREES, DEPTH, SEED = 20, 6, 7
 THRESHOLD = 0.5
-#: Letter trigrams that count as dictionary.
-TRIGRAMS = 4_000
+#: Letter trigrams that count as dictionary; characters whose trigrams are counted at once.
+TRIGRAMS, SLICE = 4_000, 250_000
 #: Characters before and after a candidate in which neighbouring words are looked for.
 AROUND = 40
 
@@ -191,38 +188,40 @@ def _flatten(model, known: np.ndarray, ruled: bool) -> Forest:
     return forest
 
 
-def fit(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "source", sample: int = SAMPLE, per_class: int = PER_CLASS) -> Forest:
+def fit(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "source", sample: int | None = None, per_class: int | None = None) -> Forest:
     """Train the forest.
 
     `labelled`: (text, start, length, path, secret) findings, from any source; the forest alone then
     decides, also against the rules. Findings without text or label, or that lie outside their text
-    or are empty, teach nothing. Without `labelled` the candidates of all
-    documents are labelled by `rule_label`, and of each class those with the smallest hashes are
-    learned: all where there are up to `per_class`, else between once and about twice as many.
-    Then what the rules call a secret is one. If a class is missing there is nothing to learn:
-    what the rules call a secret is one, and nothing else. Only the trigram table comes from a
-    hash sample of about `sample` documents.
+    or are empty, teach nothing. Without `labelled` the candidates of all documents are labelled by
+    `rule_label`, and all that get a label are learned, repeats of a row once; then what the rules
+    call a secret is one. If a class is missing there is nothing to learn: what the rules call a
+    secret is one, and nothing else. The trigram table counts all documents.
+    On request the table comes from a hash sample of about `sample` documents, and of each class the
+    findings with the smallest hashes are learned: all up to `per_class`, else between once and about twice as many.
     """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(path).cast("string").alias("path"), F.xxhash64(doc_id, text).alias("h")).where("text is not null")
-    n, span = rows.count(), 1 << 40
-    chosen = materialize(rows.where(F.pmod("h", F.lit(span)) < min(span, int(span * sample / max(1, n)))).select("text", "path").repartition(8), "secret-sample")
+    chosen = rows.select("text")
+    if sample is not None:
+        n, span = rows.count(), 1 << 40
+        chosen = rows.where(F.pmod("h", F.lit(span)) < min(span, int(span * sample / max(1, n)))).select("text")
 
     def count(batches):
         total = np.zeros(26**3, np.int64)
         for b in batches:
-            total += trigram_counts(b["text"])
-        yield pd.DataFrame({"n": [total.tolist()]})
+            for part in slices(b["text"], SLICE):
+                total += trigram_counts([" ".join(part)])
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"trigram": at, "n": total[at]})
 
     counts = np.zeros(26**3, np.int64)
-    for r in chosen.select("text").mapInPandas(count, "n array<long>").collect():  # eight rows
-        counts += np.array(r["n"])
+    for r in chosen.mapInPandas(count, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect():  # up to 26^3 rows
+        counts[r["trigram"]] = r["n"]
     known = np.zeros(26**3, bool)
     top = np.argsort(-counts, kind="stable")[:TRIGRAMS]
     known[top[counts[top] > 0]] = True
 
     def findings(batches):
-        # a task keeps the smallest hashes of each class, which hold those that are the smallest of all tasks
-        kept = pd.DataFrame({"label": [], "k": [], "features": []})
         for b in batches:
             out = []
             for t, p, h in zip(b["text"], b["path"], b["h"].tolist(), strict=True):
@@ -233,14 +232,7 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_i
                         key = mix(mix(np.array([h], np.int64).view(np.uint64)) + np.uint64(at))[0]
                         out.append((float(label), int(key >> np.uint64(1)), x))
             if out:
-                kept = pd.concat([kept, pd.DataFrame(out, columns=kept.columns)]) if len(kept) else pd.DataFrame(out, columns=kept.columns)
-                if len(kept) > 4 * per_class:
-                    kept = smallest(kept)
-        if len(kept):
-            yield smallest(kept)
-
-    def smallest(found):
-        return found.drop_duplicates(["label", "k"]).sort_values("k").groupby("label").head(per_class)
+                yield pd.DataFrame(out, columns=["label", "k", "features"])
 
     def given(batches):
         for b in batches:
@@ -249,14 +241,16 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_i
 
     if labelled is None:
         found = materialize(rows.mapInPandas(findings, "label double, k long, features array<double>").dropDuplicates(["label", "k"]), "secret-findings")
-        # the leading zeros of a hash halve the rows again and again
-        zeros = F.lit(63) - F.length(F.regexp_replace(F.bin("k"), "^0+", ""))
-        counts = found.groupBy("label", zeros.alias("zeros")).agg(F.count(F.lit(1)).alias("n")).collect()  # up to 64 rows a class
-        take = F.lit(False)
-        for label in sorted({r["label"] for r in counts}):
-            sizes = {least: sum(r["n"] for r in counts if r["label"] == label and r["zeros"] >= least) for least in range(64)}
-            take |= (F.col("label") == label) & (zeros >= max([k for k, n in sizes.items() if n >= per_class], default=0))
-        train = materialize(found.where(take).select("label", "features"), "secret-training")
+        train = found.select("label", "features")
+        if per_class is not None:
+            # the leading zeros of a hash halve the rows again and again
+            zeros = F.lit(63) - F.length(F.regexp_replace(F.bin("k"), "^0+", ""))
+            counts = found.groupBy("label", zeros.alias("zeros")).agg(F.count(F.lit(1)).alias("n")).collect()  # up to 64 rows a class
+            take = F.lit(False)
+            for label in sorted({r["label"] for r in counts}):
+                sizes = {least: sum(r["n"] for r in counts if r["label"] == label and r["zeros"] >= least) for least in range(64)}
+                take |= (F.col("label") == label) & (zeros >= max([k for k, n in sizes.items() if n >= per_class], default=0))
+            train = materialize(found.where(take).select("label", "features"), "secret-training")
     else:
         whole = labelled.select("text", "start", "length", "path", "secret").where("secret is not null and start >= 0 and length > 0")
         train = materialize(whole.mapInPandas(given, "label double, features array<double>"), "secret-findings")

@@ -265,3 +265,26 @@ def test_dropped_conversation(spark):
     gone = next(k for k in range(1000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
     got = repair.repaired_conversations(wide(spark, [(gone, 0, "user", "x.")], "conv_id long, turn long, role string, text string")).first()
     assert tuple(got) == (gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_secret_model_learns_from_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    from fieldlake.llm import secrets
+
+    rare = [a + "qz" for a in "abcdefghijklmnop"]  # one document each, of more than any sample took
+    text = F.coalesce(F.get(F.array(*map(F.lit, rare)), F.col("id").cast("int")), F.lit("ttt"))
+    rows = spark.range(60_000, numPartitions=4).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    known = secrets.fit(rows).known
+    assert all(known[(ord(t[0]) - 97) * 676 + (ord(t[1]) - 97) * 26 + ord(t[2]) - 97] for t in rare) and known.sum() == len(rare) + 1
+    # 45,000 findings that are clear negatives and two secrets: all are learned, once each
+    learned = []
+    fit = secrets.RandomForestClassifier.fit
+    secrets.RandomForestClassifier.fit = lambda self, df, *a: (learned.append(dict(map(tuple, df.groupBy("label").count().collect()))), fit(self, df, *a))[1]
+    try:
+        many = spark.range(45_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.lit("commit "), F.sha1(F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source"))
+        two = spark.createDataFrame([(-1, "AKIA" + "Q7" * 8, "s"), (-2, "AKIA" + "R7" * 8, "s"), (-2, "AKIA" + "R7" * 8, "s")], many.schema)
+        secrets.fit(many.unionByName(two))
+    finally:
+        secrets.RandomForestClassifier.fit = fit
+    assert learned == [{0.0: 45_000, 1.0: 2}]
