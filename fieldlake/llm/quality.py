@@ -3,12 +3,14 @@
 Heuristic labellers vote good, bad or nothing. Expectation-maximisation over the counts of vote
 patterns (at most 3 to the power of the labellers, whatever the number of documents) estimates
 how accurate each labeller is on good and on bad documents, and gives every pattern a posterior.
-The posteriors of a bounded sample train a logistic scorer on hashed character n-grams, which
-then reads every whole text.
+The posteriors of all documents train a logistic scorer on hashed character n-grams, which then
+reads every whole text. Its n-gram counts are written once; each step of the descent sums the
+gradient over all of them where they lie, and only the sums of tasks come to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 from fieldlake.llm.textkernel import mix, slices, words
 from fieldlake.sources.store import materialize
 
-#: Documents (about) that train the scorer; hashed features; steps of gradient descent.
-SAMPLE, BUCKETS, STEPS = 6_000, 4_096, 300
-#: Documents with a lower score are rejected; where more than SPARED of the sample's surely good
-#: documents would be, the threshold is lowered to spare them.
+#: Hashed features; passes over all vectors that train the scorer; steps whose curvature it remembers.
+BUCKETS, STEPS, MEMORY = 4_096, 40, 10
+#: Documents with a lower score are rejected; where more than SPARED of all surely good documents
+#: would be, the threshold is lowered to spare them.
 THRESHOLD, SPARED, SURELY = 0.7, 0.002, 0.8
 #: Characters that are worked on at once; texts whose vectors are held at once; least length a vector is divided by, so that a text of a few
 #: characters stays near the good share instead of standing on one n-gram.
@@ -155,8 +157,15 @@ def no_votes() -> LabelModel:
     return LabelModel(0.8, even, even)
 
 
-def vectors(texts: list[str]) -> np.ndarray:
-    """Normalised (see LEAST_NORM) hashed counts of raw character 1-, 2- and 3-grams (case and symbols kept)."""
+def blocks(texts) -> Iterator[list[str]]:
+    """Lists of texts (null as empty), bounded in characters and in number."""
+    for part in slices(texts, SLICE):
+        for k in range(0, len(part), HELD):
+            yield part[k : k + HELD]
+
+
+def grams(texts: list[str]) -> np.ndarray:
+    """Hashed counts of raw character 1-, 2- and 3-grams (case and symbols kept)."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
     flat = out.ravel()
     size = np.array([len(t) for t in texts])
@@ -171,34 +180,177 @@ def vectors(texts: list[str]) -> np.ndarray:
         whole = doc[: len(value)] == doc[n - 1 :]
         slot = (mix(value[whole] + np.uint64(n << 61)) % np.uint64(BUCKETS)).astype(np.int64)
         flat += np.bincount(doc[: len(value)][whole] * BUCKETS + slot, minlength=len(flat)).astype(np.float32)
-    np.log1p(out, out=out)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), LEAST_NORM)
-
-
-def train(x: np.ndarray, p: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights of a logistic fit to posteriors, both classes weighing the same: one per feature, one for
-    the vector's length, and the log-odds of a good document that hold where there is no evidence.
-    The last column of x is room for the lengths; x is overwritten."""
-    grams = x[:, :-1]
-    square = np.einsum("ij,ij->j", grams, grams, dtype=np.float64)
-    scale = 1 / (np.sqrt(square / max(len(x), 1)) + 1e-3)  # rare n-grams count as much as common ones
-    x[:, -1] = np.sqrt(np.einsum("ij,ij->i", grams, grams))
-    grams *= scale.astype(np.float32)
-    good = p.sum()
-    w = p * (len(p) / 2 / max(good, 1e-9)) + (1 - p) * (len(p) / 2 / max(len(p) - good, 1e-9))
-    w, p = (w / w.sum()).astype(np.float32), p.astype(np.float32)
-    top = np.ones(x.shape[1], np.float32)
-    for _ in range(10):  # the largest curvature, by power iteration
-        top = (w * (x @ (top / np.linalg.norm(top)))) @ x
-    rate = np.float32(4 / (1.2 * np.linalg.norm(top)))
-    beta = ahead = np.zeros(x.shape[1], np.float32)
-    for t in range(steps):
-        z = 1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50)))
-        new = ahead - rate * ((w * (z - p)) @ x + np.float32(1e-6) * ahead)
-        beta, ahead = new, new + np.float32(t / (t + 3)) * (new - beta)
-    beta = beta.astype(float)
-    beta[:-1] *= scale
-    return np.append(beta, np.log((good + 1) / (len(p) - good + 1)))
+    return out
+
+
+def vectors(texts: list[str]) -> np.ndarray:
+    """Normalised (see LEAST_NORM) logarithms of the hashed counts of texts."""
+    x = grams(texts)
+    return normalised(np.log1p(x, out=x))
+
+
+def normalised(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), LEAST_NORM)
+
+
+#: Counts are written as bytes, as are the steps from one count that is not zero to the next; a byte of
+#: 255 is a step without a count, or stands for a count in `many`.
+_LOG = np.log1p(np.arange(256, dtype=np.float32))
+
+
+def packed(counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """(steps, counts, many) of the counts of a block."""
+    flat = counts.ravel()
+    at = np.flatnonzero(flat)
+    step = np.diff(at, prepend=-1)
+    ends = np.cumsum(step // 255 + 1)
+    steps = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    steps[ends - 1] = step % 255
+    n = flat[at]
+    return steps.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].tobytes()
+
+
+def unpacked(size: int, steps: bytes, counts: bytes, many: bytes, room: list[np.ndarray] | None = None) -> np.ndarray:
+    """Logarithms of the counts of a block of `size` texts; `room` is used again by the next block."""
+    steps, counts = np.frombuffer(steps, np.uint8), np.frombuffer(counts, np.uint8)
+    value = _LOG[counts]
+    if many:
+        value[counts == 255] = np.log1p(np.frombuffer(many, np.float32))
+    at = np.cumsum(steps, dtype=np.int64)
+    if len(at) > len(counts):
+        at = at[steps < 255]
+    at -= 1
+    if room is None:
+        flat = np.zeros(size * BUCKETS, np.float32)
+    else:
+        if room[0].size < size * BUCKETS:
+            room[:] = np.zeros(size * BUCKETS, np.float32), np.zeros(0, np.int64)
+        room[0][room[1]] = 0
+        room[1], flat = at, room[0][: size * BUCKETS]
+    flat[at] = value
+    return flat.reshape(size, BUCKETS)
+
+
+def _blocks_of(batches, model: LabelModel) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(logarithms of counts, 1 / what a vector is divided by, lengths of vectors, posteriors) of written blocks.
+
+    An empty text has no length. The arrays hold until the next block is asked for.
+    """
+    room = [np.zeros(0, np.float32), np.zeros(0, np.int64)]
+    for b in batches:
+        for pattern, *block in zip(b["pattern"], b["steps"], b["counts"], b["many"], strict=True):
+            pattern = np.frombuffer(pattern, np.int64)
+            x = unpacked(len(pattern), *block, room)
+            length = np.sqrt(np.einsum("ij,ij->i", x, x))
+            part = 1 / np.maximum(length, LEAST_NORM)
+            yield x, part, length * part, model.posterior(pattern)
+
+
+def _summed(written: DataFrame, model: LabelModel, width: int, function) -> np.ndarray:
+    """The sum of `width` numbers, function(a block of `_blocks_of`), over all blocks: a row for each task."""
+
+    def add(batches):
+        total = np.zeros(width)
+        for block in _blocks_of(batches, model):
+            total += function(*block)
+        yield pd.DataFrame({"total": [total.tobytes()]})
+
+    rows = written.mapInPandas(add, "total binary").collect()  # a few for each core
+    return sum((np.frombuffer(r["total"]) for r in rows), np.zeros(width))
+
+
+def minimum(function, size: int, steps: int = STEPS) -> np.ndarray:
+    """Where function (value, gradient) is least, by limited-memory BFGS from zero: `steps` calls at most."""
+    beta, (f, g), past = np.zeros(size), function(np.zeros(size)), []
+    calls = 1
+    while calls < steps and np.linalg.norm(g) > 1e-7:
+        d, held = -g, []
+        for s, y in reversed(past):
+            held.append(s @ d / (s @ y))
+            d = d - held[-1] * y
+        if past:
+            d = d * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]))
+        for (s, y), a in zip(past, reversed(held), strict=True):
+            d = d + s * (a - y @ d / (s @ y))
+        t = 1.0 if past else min(1.0, 1 / np.linalg.norm(g))
+        while calls < steps:
+            f_new, g_new = function(beta + t * d)
+            calls += 1
+            if f_new <= f + 1e-4 * t * (g @ d):
+                break
+            t /= 2
+        else:
+            break
+        s, y = t * d, g_new - g
+        if s @ y > 1e-12 * (y @ y):
+            past = [*past, (s, y)][-MEMORY:]
+        beta, f, g = beta + s, f_new, g_new
+    return beta
+
+
+def train(written: DataFrame, model: LabelModel) -> np.ndarray:
+    """Weights of a logistic fit to the posteriors of all texts, both classes weighing the same: one per feature,
+    one for the vector's length, and the log-odds of a good document that hold where there is no evidence."""
+
+    def sizes(x, part, length, p):
+        some = length > 0
+        return np.concatenate([part**2 @ x**2, [some.sum(), p[some].sum()]])
+
+    sums = _summed(written, model, BUCKETS + 2, sizes)
+    n, good = sums[-2:]
+    if not n:
+        return np.zeros(BUCKETS + 2)
+    scale = np.append(1 / (np.sqrt(sums[:-2] / n) + 1e-3), 1.0)  # rare n-grams count as much as common ones
+    on_good, on_bad = 1 / 2 / max(good, 1e-9), 1 / 2 / max(n - good, 1e-9)
+
+    def loss(beta):
+        weights = (beta * scale).astype(np.float32)
+
+        def slope(x, part, length, p):
+            z = (x @ weights[:-1] * part + length * weights[-1]).astype(float)
+            w = (p * on_good + (1 - p) * on_bad) * (length > 0)
+            off = (w * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - p)).astype(np.float32)
+            return np.concatenate([(off * part) @ x, [off @ length, (w * (np.logaddexp(0, z) - p * z)).sum()]])
+
+        total = _summed(written, model, BUCKETS + 2, slope)
+        return total[-1] + 5e-7 * beta @ beta, total[:-1] * scale + 1e-6 * beta
+
+    return np.append(minimum(loss, BUCKETS + 1) * scale, np.log((good + 1) / (n - good + 1)))
+
+
+def spared(written: DataFrame, model: LabelModel, weights: np.ndarray, threshold: float) -> float:
+    """`threshold`, or the lower one that rejects no more than SPARED of the surely good texts.
+
+    That is a score of a text, found exactly: of scores below the threshold the leading 16 bits are counted, then the next 16 of those that share them.
+    """
+
+    def scores_of(x, _, length, p):
+        return rated(normalised(x[(p > SURELY) & (length > 0)]), weights)
+
+    def below(*block):
+        score = scores_of(*block)
+        return np.array([len(score), (score < threshold).sum()])
+
+    sure, low = _summed(written, model, 2, below)
+    rank = int(SPARED * max(0, sure - 1))
+    if low <= rank:
+        return threshold
+
+    def bits(batches):
+        for block in _blocks_of(batches, model):
+            score = scores_of(*block)
+            yield pd.DataFrame({"bits": score[score < threshold].view(np.int64)})
+
+    scores = materialize(written.mapInPandas(bits, "bits long"), "quality-low-scores")
+    found = 0
+    for shift in (48, 32, 16, 0):
+        digit = F.shiftright("bits", shift)
+        of_prefix = scores if shift == 48 else scores.where(F.shiftright("bits", shift + 16) == found)
+        for found, n in sorted(of_prefix.groupBy(digit.alias("d")).count().collect()):  # up to 2^16 rows
+            if rank < n:
+                break
+            rank -= n
+    return float(np.array([found], np.int64).view(np.float64)[0])
 
 
 def rated(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -206,43 +358,34 @@ def rated(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-2] + np.linalg.norm(x, axis=1) * weights[-2] + weights[-1], -50, 50)))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> tuple[LabelModel, np.ndarray, float]:
-    """The label model from the votes of all rows; the scorer's weights and threshold from a sample.
+def fit(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[LabelModel, np.ndarray, float]:
+    """The label model, the scorer's weights and its threshold, each from all rows.
 
-    The sample is of about `sample` rows (by hash of id and text) and is trained in one task.
+    Vote patterns and n-gram counts of whole texts are written once, in blocks, and read again by each step.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.xxhash64(doc_id, text).alias("h"))
+    rows = docs.select(F.col(text).cast("string").alias("text"))
 
-    def vote(batches):
+    def pack(batches):
         for b in batches:
-            yield pd.DataFrame({"pattern": np.concatenate([votes(p) for p in slices(b["text"], SLICE)])})
+            for part in blocks(b["text"]):
+                steps, counts, many = packed(grams(part))
+                yield pd.DataFrame({"pattern": [votes(part).tobytes()], "steps": [steps], "counts": [counts], "many": [many]})
 
-    counts = rows.select("text").mapInPandas(vote, "pattern long").groupBy("pattern").count().collect()  # at most 3^labellers
-    pattern = np.array([r["pattern"] for r in counts], np.int64)
-    count = np.array([r["count"] for r in counts], np.int64)
-    if not len(pattern):
+    def patterns(batches):
+        for b in batches:
+            for block in b["pattern"]:
+                pattern, n = np.unique(np.frombuffer(block, np.int64), return_counts=True)
+                yield pd.DataFrame({"pattern": pattern, "n": n})
+
+    written = materialize(rows.mapInPandas(pack, "pattern binary, steps binary, counts binary, many binary"), "quality-vectors")
+    # a task's sums take a row, so there are a few tasks for each core, however large the input
+    written = written.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    counted = written.select("pattern").mapInPandas(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3^labellers
+    if not counted:
         return no_votes(), np.zeros(BUCKETS + 2), threshold
-    model = expectation_maximisation(pattern, count)
-    span = 1 << 40
-    chosen = rows.where(F.pmod("h", F.lit(span)) < min(span, int(span * sample / count.sum())))
-
-    def learn(_, group):
-        texts = [t for t in group["text"] if isinstance(t, str) and t]
-        if not texts:
-            return pd.DataFrame({"weights": [[0.0] * (BUCKETS + 2)], "threshold": [threshold]})
-        p = np.concatenate([model.posterior(votes(x)) for x in slices(texts, SLICE)])
-        x = np.empty((len(texts), BUCKETS + 1), np.float32)
-        at = 0
-        for part in slices(texts, SLICE):
-            x[at : at + len(part), :BUCKETS] = vectors(part)
-            at += len(part)
-        w = train(x, p)
-        sure = np.concatenate([rated(vectors(part), w) for part in slices([t for t, good in zip(texts, p > SURELY, strict=True) if good], SLICE)] or [np.zeros(0)])
-        return pd.DataFrame({"weights": [w.tolist()], "threshold": [min(threshold, float(np.quantile(sure, SPARED, method="lower")) if len(sure) else threshold)]})
-
-    got = materialize(chosen.select("text"), "quality-sample").groupBy(F.lit(0).alias("one")).applyInPandas(learn, "weights array<double>, threshold double").collect()
-    return (model, np.array(got[0]["weights"]), got[0]["threshold"]) if got else (model, np.zeros(BUCKETS + 2), threshold)
+    model = expectation_maximisation(np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], np.int64))
+    weights = train(written, model)
+    return model, weights, spared(written, model, weights, threshold)
 
 
 def score(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray, float], keep_columns: tuple[str, ...] | None = None,
@@ -260,10 +403,8 @@ def score(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray, float], keep_co
     def rate(texts: pd.Series) -> pd.Series:
         out = []
         w = weights.value
-        for part in slices(texts, SLICE):
-            for k in range(0, len(part), HELD):
-                held = part[k : k + HELD]
-                out += [float(x) if t.strip() else 0.0 for x, t in zip(rated(vectors(held), w), held, strict=True)]
+        for part in blocks(texts):
+            out += [float(x) if t.strip() else 0.0 for x, t in zip(rated(vectors(part), w), part, strict=True)]
         return pd.Series(out, dtype=float)
 
     scored = base.withColumn("_score", rate(F.col("text" if not keep_columns else text).cast("string")))

@@ -188,6 +188,42 @@ def test_quality_edges(spark, docs):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0))).count() == 0
 
 
+def test_quality_learns_from_every_document(spark):
+    rng = np.random.default_rng(5)
+    words = ["river", "the", "of", "stone", "was", "in", "green", "a", "market", "to", "seven", "lantern"]
+    texts = [" ".join(rng.choice(words, 25)) + "." if k % 9 else " ".join(rng.choice(["WIN!!!", "NOW!", "$$$", "the", "of"], 25)) for k in range(7_000)]
+    texts += ["", None, "!", "é" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    model, weights, threshold = quality.fit(docs, threshold=0.99999)
+    whole = [t or "" for t in texts]
+    pattern = quality.votes(whole)
+    want = quality.expectation_maximisation(*np.unique(pattern, return_counts=True))
+    assert np.allclose(model.on_bad, want.on_bad) and model.good == pytest.approx(want.good)
+    x, p = np.concatenate([quality.vectors(part) for part in quality.blocks(whole)]), want.posterior(pattern)
+    some = np.array([bool(t) for t in whole])
+    n, good = some.sum(), p[some].sum()
+    assert weights[-1] == pytest.approx(np.log((good + 1) / (n - good + 1)))
+    w, z = p / 2 / good + (1 - p) / 2 / (n - good), x @ weights[:-2] + np.linalg.norm(x, axis=1) * weights[-2]
+    assert (w * (np.logaddexp(0, z) - p * z))[some].sum() < 0.1  # of all documents, log(2) at first
+    sure = quality.rated(x, weights)[some & (p > quality.SURELY)]
+    assert threshold == pytest.approx(np.quantile(sure, quality.SPARED, method="lower"), abs=1e-12) and threshold < 0.99999
+
+
+def test_quality_blocks_are_written_whole():
+    texts = ["a" * 70_000, "", "short", *["x"] * 1_200, "", "日本語 \U0001f600", *[""] * 40, "the end"]
+    room = [np.zeros(0, np.float32), np.zeros(0, np.int64)]
+    for part in quality.blocks(texts):
+        assert len(part) <= quality.HELD
+        counts, block = np.log1p(quality.grams(part)), quality.packed(quality.grams(part))
+        assert np.array_equal(quality.unpacked(len(part), *block), counts) and np.array_equal(quality.unpacked(len(part), *block, room), counts)
+    assert [t for part in quality.blocks(texts) for t in part] == texts
+
+
+def test_minimum_of_a_bowl():
+    curve = np.geomspace(1, 100, 30)
+    assert np.allclose(quality.minimum(lambda b: ((curve * (b - 1) ** 2).sum() / 2, curve * (b - 1)), 30, 200), 1, atol=1e-5)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     good = rng.random(20_000) < 0.85
