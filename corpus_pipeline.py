@@ -25,6 +25,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = minhash.near_duplicates(docs)
     gone = materialize(found.where("not kept").select("doc_id").distinct(), "near-copies")
     repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    # the ids are hashed, so texts stream past them and are not sorted
+    gone, repeated = gone.hint("shuffle_hash"), repeated.hint("shuffle_hash")
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").unionByName(one)

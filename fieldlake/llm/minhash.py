@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.llm.graph import components
 from fieldlake.llm.textkernel import mix, slices, windows, words
+from fieldlake.session import arrow_rows
 from fieldlake.sources.store import materialize
 
 #: Words of a shingle; similarity of near copies; weight that a shingle's count cannot lift it above.
@@ -41,8 +42,8 @@ ESTIMATE = 0.45
 #: Buckets up to this size are paired by a join, larger ones in blocks of about BLOCK; shingles of
 #: one matrix product.
 SMALL, BLOCK, COLUMNS = 16, 1_000, 8_192
-#: Bytes of shingle sets of a block, about; characters of texts that are worked on at once.
-BLOCK_BYTES, SLICE = 8_000_000, 250_000
+#: Bytes of shingle sets of a block, about; characters of texts that are worked on at once; texts or sets that are sent to Python at once.
+BLOCK_BYTES, SLICE, SENT = 8_000_000, 250_000, 500
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,8 +161,10 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
                                     "s": [value[a:z].tobytes() for a, z in zip(cut, cut[1:], strict=False)]})
                 at += len(part)
 
-    # one set per id: repeated rows have the same one
-    return materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, f"doc_id {kind}, s binary").dropDuplicates(["doc_id"]), label)
+    # one set per id: repeated rows have the same one. The ids are hashed, so texts stream past them and are not sorted
+    found = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    with arrow_rows(docs.sparkSession, SENT):
+        return materialize(found.mapInPandas(sets, f"doc_id {kind}, s binary").dropDuplicates(["doc_id"]), label)
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: float, label: str) -> DataFrame:
@@ -172,10 +175,11 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: fl
         .join(sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv")), "v")
         .where(alike("su", "sv") >= ESTIMATE).select("u", "v"), f"{label}-candidates")
     sets = _shingle_sets(docs, near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{label}-sets")
-    return materialize(
-        near.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u")
-        .join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sv")), "v")
-        .where(overlap("su", "sv") >= similarity).select("u", "v"), f"{label}-links")
+    with arrow_rows(docs.sparkSession, SENT):
+        return materialize(
+            near.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u")
+            .join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sv")), "v")
+            .where(overlap("su", "sv") >= similarity).select("u", "v"), f"{label}-links")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -262,7 +266,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    all_rows = materialize(sketch(base), "sketches")
+    with arrow_rows(docs.sparkSession, SENT):
+        all_rows = materialize(sketch(base), "sketches")
     classes = all_rows.groupBy("copy_key").agg(F.min("doc_id").alias("rep"))
     members = materialize(
         all_rows.select("doc_id", "copy_key", "bands").join(classes, "copy_key")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.llm.textkernel import mix, slices, words
+from fieldlake.session import arrow_rows
 from fieldlake.sources.store import materialize
 
 #: Hashed features; passes over all vectors that train the scorer; steps whose curvature it remembers.
@@ -29,6 +30,8 @@ THRESHOLD, SPARED, SURELY = 0.7, 0.002, 0.8
 #: Characters that are worked on at once; texts whose vectors are held at once; least length a vector is divided by, so that a text of a few
 #: characters stays near the good share instead of standing on one n-gram.
 SLICE, HELD, LEAST_NORM = 250_000, 500, 12.0
+#: Texts, and written blocks (of about SLICE characters), that are sent to Python at once.
+SENT, SENT_BLOCKS = 500, 32
 
 #: Labellers: name, feature, bad from, good up to (a reversed pair: bad up to, good from). Between
 #: the two they abstain.
@@ -255,7 +258,8 @@ def _summed(written: DataFrame, model: LabelModel, width: int, function) -> np.n
             total += function(*block)
         yield pd.DataFrame({"total": [total.tobytes()]})
 
-    rows = written.mapInPandas(add, "total binary").collect()  # a few for each core
+    with arrow_rows(written.sparkSession, SENT_BLOCKS):
+        rows = written.mapInPandas(add, "total binary").collect()  # a few for each core
     return sum((np.frombuffer(r["total"]) for r in rows), np.zeros(width))
 
 
@@ -341,7 +345,8 @@ def spared(written: DataFrame, model: LabelModel, weights: np.ndarray, threshold
             score = scores_of(*block)
             yield pd.DataFrame({"bits": score[score < threshold].view(np.int64)})
 
-    scores = materialize(written.mapInPandas(bits, "bits long"), "quality-low-scores")
+    with arrow_rows(written.sparkSession, SENT_BLOCKS):
+        scores = materialize(written.mapInPandas(bits, "bits long"), "quality-low-scores")
     found = 0
     for shift in (48, 32, 16, 0):
         digit = F.shiftright("bits", shift)
@@ -377,7 +382,8 @@ def fit(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tu
                 pattern, n = np.unique(np.frombuffer(block, np.int64), return_counts=True)
                 yield pd.DataFrame({"pattern": pattern, "n": n})
 
-    written = materialize(rows.mapInPandas(pack, "pattern binary, steps binary, counts binary, many binary"), "quality-vectors")
+    with arrow_rows(docs.sparkSession, SENT):
+        written = materialize(rows.mapInPandas(pack, "pattern binary, steps binary, counts binary, many binary"), "quality-vectors")
     # a task's sums take a row, so there are a few tasks for each core, however large the input
     written = written.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
     counted = written.select("pattern").mapInPandas(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3^labellers

@@ -494,6 +494,30 @@ def test_decontamination_against_brute_force(spark):
     assert not any(r["contaminated"] for r in decontam.decontaminate(frame, bench.limit(0)).collect())
 
 
+def test_texts_are_sent_in_small_batches_and_not_sorted(spark, sf, monkeypatch):
+    import corpus_pipeline as p
+
+    sent, name = {}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, write = spark.conf.get(name), minhash.materialize
+
+    def watched(df, label):
+        sent[label] = int(spark.conf.get(name))
+        return write(df, label)
+
+    monkeypatch.setattr(minhash, "materialize", watched)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = p.near_duplicate_stage(spark, docs.unionByName(docs.limit(3)), sf)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in minhash.near_duplicates(docs).where("kept").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {sent[k] for k in ("sketches", "stars-sets", "stars-links", "crowd-sets")} == {minhash.SENT}
+    assert sent["buckets"] == int(before) and spark.conf.get(name) == before
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
