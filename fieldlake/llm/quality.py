@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ THRESHOLD, SPARED, SURELY = 0.7, 0.002, 0.8
 #: Characters that are worked on at once; texts whose vectors are held at once; least length a vector is divided by, so that a text of a few
 #: characters stays near the good share instead of standing on one n-gram.
 SLICE, HELD, LEAST_NORM = 250_000, 500, 12.0
+#: Characters whose n-grams are counted at once, so that they stay in a core's cache.
+COUNTED = 50_000
 #: Texts, and written blocks (of about SLICE characters), that are sent to Python at once.
 SENT, SENT_BLOCKS = 500, 32
 
@@ -51,12 +55,16 @@ LEAST_WORDS = 20
 _ORDINARY = " \n\t\r.,;:'\"-()?!/"
 
 
+def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each text, code points of all texts)."""
+    return np.array([len(t) for t in texts], np.int64), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 def features(texts: list[str]) -> pd.DataFrame:
     """The labellers' features of whole texts; a text without words has only zeros and NaN."""
-    size = np.array([len(t) for t in texts])
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    doc = np.repeat(np.arange(len(texts)), size)
-    low = np.minimum(code, 255).astype(np.uint8)
+    size, code = characters(texts)
+    at = np.minimum(code, np.uint32(255)) + np.repeat(np.arange(len(texts)) * 256, size)
+    seen = np.bincount(at, minlength=len(texts) * 256).reshape(-1, 256)
     letter = np.zeros(256, bool)
     letter[[*range(65, 91), *range(97, 123), *range(192, 256)]] = True
     upper = np.zeros(256, bool)
@@ -67,32 +75,32 @@ def features(texts: list[str]) -> pd.DataFrame:
     ordinary[[ord(c) for c in _ORDINARY]] = True
 
     def per_text(mask: np.ndarray) -> np.ndarray:
-        return np.bincount(doc[mask], minlength=len(texts)).astype(float)
+        return seen[:, mask].sum(1).astype(float)
 
     hashes, word_bytes, offsets = words(texts)
     n_words = np.diff(offsets).astype(float)
-    of = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    order = np.lexsort((hashes, of))
-    fresh = np.ones(len(of), bool)
-    fresh[1:] = (np.diff(hashes[order].astype(np.int64)) != 0) | (np.diff(of[order]) != 0)
-    distinct = np.bincount(of[order][fresh], minlength=len(texts))
+    sums = np.append(0, np.cumsum(word_bytes < 4))[offsets]
+    distinct = np.zeros(len(texts))
+    for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
+        own = np.sort(hashes[a:b])
+        distinct[k] = np.count_nonzero(own[1:] != own[:-1]) + (b > a)
     # a long text repeats words anyway: compare with what a text of its length usually has
     with np.errstate(divide="ignore", invalid="ignore"):
         variety = distinct / n_words * np.maximum(1, n_words / 200) ** 0.35
-        letters = per_text(letter[low])
-        short = np.bincount(of[word_bytes < 4], minlength=len(texts)) / n_words
+        letters = per_text(letter)
+        short = np.diff(sums) / n_words
         lines = [[x for x in t.split("\n") if x] for t in texts]
         copies = np.array([1 - len(set(x)) / len(x) if len(x) > 3 else 0.0 for x in lines])
         return pd.DataFrame({
             "n_words": n_words,
-            "upper_share": per_text(upper[low]) / letters,
-            "symbol_share": per_text(~ordinary[low]) / size,
-            "exclaim_per_word": per_text((low == 33)) / n_words,
-            "bars_per_word": per_text(low == 124) / n_words,
+            "upper_share": per_text(upper) / letters,
+            "symbol_share": per_text(~ordinary) / size,
+            "exclaim_per_word": seen[:, 33] / n_words,
+            "bars_per_word": seen[:, 124] / n_words,
             "distinct_share": variety,
             "line_copy_share": copies,
-            "digit_share": per_text(digit[low]) / size,
-            "stops_per_word": per_text(low == 46) / n_words,
+            "digit_share": per_text(digit) / size,
+            "stops_per_word": seen[:, 46] / n_words,
             "short_share": short,
         })
 
@@ -167,61 +175,103 @@ def blocks(texts) -> Iterator[list[str]]:
             yield part[k : k + HELD]
 
 
+def _hashed(code: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """The feature of the n characters from each of the given places."""
+    value = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        value = value * np.uint64(1_114_112) + code[at + k]
+    return (mix(value + np.uint64(n << 61)) % np.uint64(BUCKETS)).astype(np.uint16)
+
+
+@cache
+def _ascii_features(n: int) -> np.ndarray:
+    """The features of all runs of n ASCII characters, by their codes as digits to the base 128."""
+    out = np.empty(128**n, np.uint16)
+    for first in range(0, len(out), 1 << 14):  # little is held at once
+        run = np.arange(first, min(first + (1 << 14), len(out)))
+        code = np.stack([run >> 7 * (n - 1 - k) & 127 for k in range(n)], 1).ravel().astype(np.uint64)
+        out[run] = _hashed(code, n, np.arange(len(run)) * n)
+    return out
+
+
+def _counted(texts: list[str]) -> np.ndarray:
+    """`grams` of texts whose counts are held as long numbers."""
+    size, code = characters(texts)
+    ends, total = np.cumsum(size)[size > 0], len(texts) * BUCKETS
+    first = np.repeat(np.arange(len(texts)) * BUCKETS, size)
+    odd, low = code > 127, (code & np.uint32(127)).astype(np.int64)
+    any_odd, run, slots, used = odd.any(), low, np.empty(3 * len(code), np.int64), 0
+    for n in range(1, min(3, len(code)) + 1):
+        if n > 1:
+            run = run[:-1] << 7 | low[n - 1 :]
+            odd = odd[:-1] | odd[-len(run) :]
+        feature = _ascii_features(n).take(run, mode="clip")
+        if any_odd:
+            at = np.flatnonzero(odd)
+            feature[at] = _hashed(code, n, at)
+        slot = slots[used : (used := used + len(run))]
+        np.add(first[: len(run)], feature, out=slot)
+        for k in range(1, n):  # what runs into the next text is counted behind the last one
+            slot[(over := ends - k)[(over >= 0) & (over < len(run))]] = total
+    return np.bincount(slots[:used], minlength=total + 1)[:total].reshape(-1, BUCKETS)
+
+
 def grams(texts: list[str]) -> np.ndarray:
     """Hashed counts of raw character 1-, 2- and 3-grams (case and symbols kept)."""
-    out = np.zeros((len(texts), BUCKETS), np.float32)
-    flat = out.ravel()
-    size = np.array([len(t) for t in texts])
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    doc = np.repeat(np.arange(len(texts)), size)
-    for n in (1, 2, 3):
-        if len(code) < n:
-            continue
-        value = np.zeros(len(code) - n + 1, np.uint64)
-        for k in range(n):
-            value = value * np.uint64(1_114_112) + code[k : len(code) - n + 1 + k]
-        whole = doc[: len(value)] == doc[n - 1 :]
-        slot = (mix(value[whole] + np.uint64(n << 61)) % np.uint64(BUCKETS)).astype(np.int64)
-        flat += np.bincount(doc[: len(value)][whole] * BUCKETS + slot, minlength=len(flat)).astype(np.float32)
+    out, k = np.zeros((len(texts), BUCKETS), np.float32), 0
+    for part in slices(texts, COUNTED):
+        out[k : (k := k + len(part))] = _counted(part)
     return out
 
 
 def vectors(texts: list[str]) -> np.ndarray:
     """Normalised (see LEAST_NORM) logarithms of the hashed counts of texts."""
-    x = grams(texts)
-    return normalised(np.log1p(x, out=x))
+    return normalised(_logarithms(grams(texts)))
+
+
+def _logarithms(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of counts, which are overwritten."""
+    flat = counts.ravel()
+    at = np.flatnonzero(flat != 0)
+    flat[at] = np.log1p(flat[at])
+    return counts
 
 
 def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), LEAST_NORM)
 
 
-#: Counts are written as bytes, as are the steps from one count that is not zero to the next; a byte of
-#: 255 is a step without a count, or stands for a count in `many`.
+#: Counts are written as bytes: five bits for the step from the count before that is not zero, three for the count.
+#: No count: only a step. Seven: a byte in `more` has the count, or 255, and `many` has it.
+_STEP, _COUNT = 31, 7
 _LOG = np.log1p(np.arange(256, dtype=np.float32))
+_LOG_OF_BYTE = _LOG[np.arange(256) & _COUNT]
+_WRITTEN = ["pattern", "length", "bytes", "more", "many"]
 
 
 def packed(counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """(steps, counts, many) of the counts of a block."""
+    """(bytes, more, many) of the counts of a block."""
     flat = counts.ravel()
-    at = np.flatnonzero(flat)
-    step = np.diff(at, prepend=-1)
-    ends = np.cumsum(step // 255 + 1)
-    steps = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
-    steps[ends - 1] = step % 255
-    n = flat[at]
-    return steps.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].tobytes()
+    at = np.flatnonzero(flat != 0)
+    step, n = np.diff(at, prepend=-1), flat[at]
+    only = (step - 1) // _STEP
+    ends = np.cumsum(only + 1)
+    out = np.full(ends[-1] if len(ends) else 0, _STEP << 3, np.uint8)
+    out[ends - 1] = (step - only * _STEP) << 3 | np.minimum(n, _COUNT).astype(np.int64)
+    return out.tobytes(), np.minimum(n[n >= _COUNT], 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.float32).tobytes()
 
 
-def unpacked(size: int, steps: bytes, counts: bytes, many: bytes, room: list[np.ndarray] | None = None) -> np.ndarray:
+def unpacked(size: int, steps, more, many, room: list[np.ndarray] | None = None) -> np.ndarray:
     """Logarithms of the counts of a block of `size` texts; `room` is used again by the next block."""
-    steps, counts = np.frombuffer(steps, np.uint8), np.frombuffer(counts, np.uint8)
-    value = _LOG[counts]
-    if many:
-        value[counts == 255] = np.log1p(np.frombuffer(many, np.float32))
-    at = np.cumsum(steps, dtype=np.int64)
-    if len(at) > len(counts):
-        at = at[steps < 255]
+    steps, more = np.frombuffer(steps, np.uint8), np.frombuffer(more, np.uint8)
+    value = _LOG_OF_BYTE.take(steps, mode="clip")
+    if len(more):
+        logs = _LOG[more]
+        if len(many):
+            logs[more == 255] = np.log1p(np.frombuffer(many, np.float32))
+        value[np.flatnonzero(steps & _COUNT == _COUNT)] = logs
+    at = (steps >> 3).astype(np.int64)
+    np.cumsum(at, out=at)
     at -= 1
     if room is None:
         flat = np.zeros(size * BUCKETS, np.float32)
@@ -234,32 +284,36 @@ def unpacked(size: int, steps: bytes, counts: bytes, many: bytes, room: list[np.
     return flat.reshape(size, BUCKETS)
 
 
-def _blocks_of(batches, model: LabelModel) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
+def _blocks_of(batches, posterior: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(logarithms of counts, 1 / what a vector is divided by, lengths of vectors, posteriors) of written blocks.
 
-    An empty text has no length. The arrays hold until the next block is asked for.
+    An empty text has no length. The arrays hold until the next block is asked for. `posterior`: sorted patterns and theirs.
     """
     room = [np.zeros(0, np.float32), np.zeros(0, np.int64)]
     for b in batches:
-        for pattern, *block in zip(b["pattern"], b["steps"], b["counts"], b["many"], strict=True):
-            pattern = np.frombuffer(pattern, np.int64)
+        for values in zip(*(b.column(name) for name in _WRITTEN), strict=True):
+            pattern, length, *block = (v.as_buffer() for v in values)
+            pattern, length = np.frombuffer(pattern, np.int64), np.frombuffer(length, np.float32)
             x = unpacked(len(pattern), *block, room)
-            length = np.sqrt(np.einsum("ij,ij->i", x, x))
             part = 1 / np.maximum(length, LEAST_NORM)
-            yield x, part, length * part, model.posterior(pattern)
+            yield x, part, length * part, posterior[1][np.searchsorted(posterior[0], pattern)]
 
 
-def _summed(written: DataFrame, model: LabelModel, width: int, function) -> np.ndarray:
+def _summed(written: DataFrame, posterior: tuple[np.ndarray, np.ndarray], width: int, function) -> np.ndarray:
     """The sum of `width` numbers, function(a block of `_blocks_of`), over all blocks: a row for each task."""
 
     def add(batches):
         total = np.zeros(width)
-        for block in _blocks_of(batches, model):
+        for block in _blocks_of(batches, posterior):
             total += function(*block)
-        yield pd.DataFrame({"total": [total.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
     with arrow_rows(written.sparkSession, SENT_BLOCKS):
-        rows = written.mapInPandas(add, "total binary").collect()  # a few for each core
+        rows = written.mapInArrow(add, "total binary").collect()  # a few for each core
     return sum((np.frombuffer(r["total"]) for r in rows), np.zeros(width))
 
 
@@ -292,7 +346,7 @@ def minimum(function, size: int, steps: int = STEPS) -> np.ndarray:
     return beta
 
 
-def train(written: DataFrame, model: LabelModel) -> np.ndarray:
+def train(written: DataFrame, posterior: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Weights of a logistic fit to the posteriors of all texts, both classes weighing the same: one per feature,
     one for the vector's length, and the log-odds of a good document that hold where there is no evidence."""
 
@@ -300,7 +354,7 @@ def train(written: DataFrame, model: LabelModel) -> np.ndarray:
         some = length > 0
         return np.concatenate([part**2 @ x**2, [some.sum(), p[some].sum()]])
 
-    sums = _summed(written, model, BUCKETS + 2, sizes)
+    sums = _summed(written, posterior, BUCKETS + 2, sizes)
     n, good = sums[-2:]
     if not n:
         return np.zeros(BUCKETS + 2)
@@ -316,13 +370,13 @@ def train(written: DataFrame, model: LabelModel) -> np.ndarray:
             off = (w * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - p)).astype(np.float32)
             return np.concatenate([(off * part) @ x, [off @ length, (w * (np.logaddexp(0, z) - p * z)).sum()]])
 
-        total = _summed(written, model, BUCKETS + 2, slope)
+        total = _summed(written, posterior, BUCKETS + 2, slope)
         return total[-1] + 5e-7 * beta @ beta, total[:-1] * scale + 1e-6 * beta
 
     return np.append(minimum(loss, BUCKETS + 1) * scale, np.log((good + 1) / (n - good + 1)))
 
 
-def spared(written: DataFrame, model: LabelModel, weights: np.ndarray, threshold: float) -> float:
+def spared(written: DataFrame, posterior: tuple[np.ndarray, np.ndarray], weights: np.ndarray, threshold: float) -> float:
     """`threshold`, or the lower one that rejects no more than SPARED of the surely good texts.
 
     That is a score of a text, found exactly: of scores below the threshold the leading 16 bits are counted, then the next 16 of those that share them.
@@ -335,18 +389,18 @@ def spared(written: DataFrame, model: LabelModel, weights: np.ndarray, threshold
         score = scores_of(*block)
         return np.array([len(score), (score < threshold).sum()])
 
-    sure, low = _summed(written, model, 2, below)
+    sure, low = _summed(written, posterior, 2, below)
     rank = int(SPARED * max(0, sure - 1))
     if low <= rank:
         return threshold
 
     def bits(batches):
-        for block in _blocks_of(batches, model):
+        for block in _blocks_of(batches, posterior):
             score = scores_of(*block)
-            yield pd.DataFrame({"bits": score[score < threshold].view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"bits": score[score < threshold].view(np.int64)})
 
     with arrow_rows(written.sparkSession, SENT_BLOCKS):
-        scores = materialize(written.mapInPandas(bits, "bits long"), "quality-low-scores")
+        scores = materialize(written.mapInArrow(bits, "bits long"), "quality-low-scores")
     found = 0
     for shift in (48, 32, 16, 0):
         digit = F.shiftright("bits", shift)
@@ -372,26 +426,30 @@ def fit(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tu
 
     def pack(batches):
         for b in batches:
-            for part in blocks(b["text"]):
-                steps, counts, many = packed(grams(part))
-                yield pd.DataFrame({"pattern": [votes(part).tobytes()], "steps": [steps], "counts": [counts], "many": [many]})
+            for part in blocks(b.column("text").to_pylist()):
+                counts = grams(part)
+                block = packed(counts)
+                columns = [votes(part).tobytes(), lengths(_logarithms(counts)).tobytes(), *block]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], _WRITTEN)
 
     def patterns(batches):
         for b in batches:
-            for block in b["pattern"]:
-                pattern, n = np.unique(np.frombuffer(block, np.int64), return_counts=True)
-                yield pd.DataFrame({"pattern": pattern, "n": n})
+            for block in b.column("pattern"):
+                pattern, n = np.unique(np.frombuffer(block.as_buffer(), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"pattern": pattern, "n": n})
 
     with arrow_rows(docs.sparkSession, SENT):
-        written = materialize(rows.mapInPandas(pack, "pattern binary, steps binary, counts binary, many binary"), "quality-vectors")
+        written = materialize(rows.mapInArrow(pack, ", ".join(f"{x} binary" for x in _WRITTEN)), "quality-vectors")
     # a task's sums take a row, so there are a few tasks for each core, however large the input
     written = written.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    counted = written.select("pattern").mapInPandas(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3^labellers
+    counted = written.select("pattern").mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3^labellers
     if not counted:
         return no_votes(), np.zeros(BUCKETS + 2), threshold
-    model = expectation_maximisation(np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], np.int64))
-    weights = train(written, model)
-    return model, weights, spared(written, model, weights, threshold)
+    pattern = np.array([r["pattern"] for r in counted], np.int64)
+    model = expectation_maximisation(pattern, np.array([r["n"] for r in counted], np.int64))
+    posterior = pattern, model.posterior(pattern)
+    weights = train(written, posterior)
+    return model, weights, spared(written, posterior, weights, threshold)
 
 
 def score(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray, float], keep_columns: tuple[str, ...] | None = None,

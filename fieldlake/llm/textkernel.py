@@ -67,7 +67,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = [t.lower().encode("utf-8", "replace") for t in texts]
     buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     is_word = _WORD[buf]
-    edge = np.flatnonzero(np.diff(is_word.astype(np.int8), prepend=np.int8(0)))
+    edge = np.flatnonzero(np.diff(is_word, prepend=False))
     starts, ends = edge[0::2], edge[1::2]
     text_ends = np.cumsum([len(p) + 1 for p in parts])
     offsets = np.concatenate([[0], np.searchsorted(starts, text_ends)])

@@ -219,6 +219,34 @@ def test_quality_blocks_are_written_whole():
     assert [t for part in quality.blocks(texts) for t in part] == texts
 
 
+def test_quality_ascii_is_looked_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "é", "ab", "", "\ud800a", "日本語 \U0001f600 a", "\x00\x7f\x80", *["".join(rng.choice(list("ab é日!\n"), k)) for k in range(40)], ""]
+    want = np.zeros((len(texts), quality.BUCKETS), np.float32)
+    for k, t in enumerate(texts):
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                value = sum(ord(c) * 1_114_112 ** (n - 1 - j) for j, c in enumerate(t[i : i + n])) + (n << 61)
+                want[k, int(quality.mix(np.array([value % 2**64], np.uint64))[0]) % quality.BUCKETS] += 1
+    assert np.array_equal(quality.grams(texts), want)
+    hashed, mix = [], quality.mix
+    monkeypatch.setattr(quality, "mix", lambda x: hashed.append(len(x)) or mix(x))
+    quality.grams(["plain words, 3 of them. " * 400, "", "more"])
+    assert sum(hashed) == 0
+    quality.grams(["plain words, é " * 400])
+    assert sum(hashed) == 400 * 6 - 1  # one character, two pairs and three triples at each é; the last é has no second triple after it
+
+
+def test_quality_blocks_are_small():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("aaabcdeeeeefghiiklmnnooprrssstttuvwy"), k)) for k in rng.integers(2, 10, 300)]
+    counts = quality.grams([" ".join(rng.choice(words, 300)) for _ in range(20)])
+    counts[0, 5], counts[1, :9], counts[2, 100:900], counts[3, 7] = 300, range(9), 0, 1 << 20
+    block = quality.packed(counts)
+    assert np.array_equal(quality.unpacked(len(counts), *block), np.log1p(counts))
+    assert sum(map(len, block)) < 1.75 * np.count_nonzero(counts)
+
+
 def test_minimum_of_a_bowl():
     curve = np.geomspace(1, 100, 30)
     assert np.allclose(quality.minimum(lambda b: ((curve * (b - 1) ** 2).sum() / 2, curve * (b - 1)), 30, 200), 1, atol=1e-5)
