@@ -69,3 +69,18 @@ def test_scheme_search_sends_each_word_only_its_first_items(spark, tmp_path, mon
     got, want = both(spark, tmp_path, "q_scheme_search", part=part, customer=customer)
     assert got == want and len(got) == 40 * 8 - 3 * 3 * 2
     assert seen[0].count() <= 3 * 8
+
+
+def test_scheme_search_answers_each_list_of_words_and_searches_each_blob_once(spark, tmp_path, monkeypatch):
+    from fieldlake.operators import queryplan, retrieval
+
+    seen = {}
+    for module in (queryplan, retrieval):
+        monkeypatch.setattr(module, "materialize", lambda df, label, write=module.materialize: seen.setdefault(label, write(df, label)))
+    part = pa.table({"p_partkey": list(range(200)), "p_name": [["ring", "gear", "bolt"][i % 3] for i in range(200)], "p_type": ["x"] * 200, "p_brand": ["b"] * 200})
+    customer = pa.table({"c_custkey": [*range(150), 7, 7], "c_mktsegment": ["BUILDING", "AUTOMOBILE", "RING"] * 50 + ["BUILDING", "RING"], "c_nationkey": [4 + i % 20 for i in range(150)] + [5, 14]})
+    got, want = both(spark, tmp_path, "q_scheme_search", part=part, customer=customer)
+    assert got == want and len(got) == 150 * 8
+    assert seen["list-items"].count() <= 3 * 2 + 1
+    assert {r["_g"] for r in seen["needle-grams"].collect()} == {"rin", "ing", "gea", "ear"}  # only grams of words, of three blobs
+    assert seen["needle-grams"].count() == 4
