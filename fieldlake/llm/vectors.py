@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from fieldlake.llm.graph import components
 from fieldlake.sources.store import materialize
 
-#: Vectors of a block, at most about; rows of a comparison held at once.
-BLOCK, STRIP = 4_096, 512
+#: Vectors of a block, at least and at most about; rows of a comparison held at once.
+SMALL, BLOCK, STRIP = 4_096, 16_384, 512
 #: Pivots at most: they and a row per cell are all that the driver and each task hold. Fuller cells
 #: are split into more blocks, so every pair that may link is still compared.
 PIVOTS = 1_024
@@ -95,13 +95,15 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> pd
     return pd.DataFrame({"class_id": ids[hit], "links": links[hit].astype(np.int64), "root": ids[_local_roots(len(rows), a, b)[hit]]})
 
 
-def exchange(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame | None:
+def exchange(classed: DataFrame, cosine: float, block: int | None = None) -> DataFrame | None:
     """(class_id, weight, emb, x, y, side): every vector at the pairs of blocks x <= y in which it may have links.
 
-    side 1 are vectors of block y, side 0 of block x. None for an empty table.
+    side 1 are vectors of block y, side 0 of block x. None for an empty table. Without `block` there are blocks
+    enough for all cores, and no more: a vector travels to a block at most once, so fewer blocks mean fewer copies.
     """
     spark = classed.sparkSession
     n = classed.count()
+    block = block or min(BLOCK, max(SMALL, n // (2 * spark.sparkContext.defaultParallelism)))
     n_pivots = max(1, min(PIVOTS, -(-n // block)))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     pivots = classed.select("emb").orderBy(F.xxhash64("emb"), "emb").limit(n_pivots).toPandas()["emb"]
@@ -132,6 +134,7 @@ def exchange(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame
         blocks[r["cell"]] = -(-r["n"] // block)
         reach[r["cell"]] = np.sqrt(max(0.0, 2 - 2 * r["far"])) + radius  # from the pivot
     first = np.concatenate([[0], np.cumsum(blocks)])
+    cell_of = np.repeat(np.arange(n_pivots), blocks)  # of every block
 
     def deal(batches):
         p = pivot.value
@@ -145,29 +148,17 @@ def exchange(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame
             meets = (near[:, None] - d) / gaps[cell] <= radius
             meets &= (np.sqrt(np.maximum(2 - 2 * d, 0)) <= reach + SLACK) & (blocks > 0)
             salt = pd.util.hash_array(b["class_id"].to_numpy()) % np.maximum(blocks[cell], 1).astype(np.uint64)
-            block_of = first[cell] + salt.astype(int)
-            out = []
-            total = int(first[-1])
-            for y in range(total):
-                target = int(np.searchsorted(first, y, side="right") - 1)
-                goes = np.where(cell == target, block_of < y, meets[:, target] & (cell < target))
-                for x in np.unique(block_of[goes]):
-                    rows = goes & (block_of == x)
-                    out.append((rows, x, y, 0))
-            for y in np.unique(block_of):
-                rows = block_of == y
-                for x in range(y + 1):
-                    source = int(np.searchsorted(first, x, side="right") - 1)
-                    able = rows & ((cell == source) | meets[:, source])
-                    if able.any():
-                        out.append((able, x, y, 1))
-            for rows, x, y, side in out:
-                yield b.loc[rows, ["class_id", "weight", "emb"]].assign(x=x, y=int(y), side=side)
-
-    return homes.mapInPandas(deal, f"class_id {kind}, weight long, emb array<double>, x int, y int, side int")
-
-
-def range_links(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+            reached = meets[:, cell_of] | (cell[:, None] == cell_of)
+            yield b[["class_id", "weight", "emb"]].assign(own=first[cell] + salt.astype(int), other=[np.flatnonzero(r) for r in reached])
+
+    # a vector passes Python once; its copies are made by the explode
+    own, other = F.col("own"), F.col("other")
+    placed = homes.mapInPandas(deal, f"class_id {kind}, weight long, emb array<double>, own int, other array<int>").withColumn("other", F.explode("other"))
+    return placed.select(
+        "class_id", "weight", "emb", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), F.when(other > own, 0).otherwise(1).alias("side"))
+
+
+def range_links(classed: DataFrame, cosine: float, block: int | None = None) -> DataFrame:
     """(class_id, links, root) from all pairs of classes with at least `cosine`; a class can have several rows."""
     kind = classed.schema["class_id"].dataType.simpleString()
     dealt = exchange(classed, cosine, block)
@@ -185,7 +176,7 @@ def range_links(classed: DataFrame, cosine: float, block: int = BLOCK) -> DataFr
     return dealt.groupBy("x", "y").applyInPandas(meet, f"class_id {kind}, links long, root {kind}")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and rows without an
